@@ -13,10 +13,15 @@ still meets unless each of its 14 chunks has two errors: at a similarity of exac
 What meets is confirmed on the full sets. Pairs within a group of copies are never enumerated:
 1. Documents with equal sets are one vertex (partial aggregation by set digest).
 2. Under each key every vertex is compared with the smallest one only: a number of pairs linear in the rows.
-3. Components of the confirmed links are found; only where a key still holds several components are pairs across
+3. Components of the confirmed links are found. Where a key still holds several, all its vertices are compared with
+   another pivot, by a hash, up to TURNS times. Only where a key still holds several components are pairs across
    components compared, and those that the triangle inequality of Jaccard distance rules out, by the known distances
    to each component's pivot, aren't.
-So no link between different texts is lost, and no key is capped.
+4. A key under which that would be more than CROWD pairs a vertex (a passage that many documents share) is crowded. Its
+   vertices are joined by an exact way instead: of each set, ordered by how many of these vertices hold a shingle, the
+   rarest n - ceil(0.75 n) + 1; two sets that are linked share one of those, at places that leave room for enough others,
+   and a common passage isn't among them.
+So no link between different texts is lost, and no key is dropped or cut.
 
 Nulls, empty and repeated rows: null and blank texts have an empty set, link with nothing and are kept; rows with a
 null id have a null component, link with nothing and are kept; rows with the same id are one vertex; ties do not
@@ -41,6 +46,10 @@ CHUNKS, CHUNK, ERRORS = 14, 5, 1
 SYMBOLS, BITS = CHUNKS * CHUNK, 16
 #: Candidates with more differing symbols than this are not confirmed: 6.2 standard deviations over the mean at similarity 0.75, under one link in 10 ** 8.
 FAR = 40
+#: Pairs across components, a vertex, beyond which a key is crowded.
+CROWD = 4
+#: Other pivots tried.
+TURNS = 3
 #: Shingles that are hashed at a time.
 BLOCK = 4096
 
@@ -143,10 +152,15 @@ def _within(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_size("n_a", "n_b")).filter(_differing("s_a", "s_b") <= FAR).select("a", "b", "n_a", "n_b")
 
 
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and members of the documents in ids (doc_id, distinct); sets are made again for these only."""
+    ids = scratch(ids, "ids")
+    return scratch(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id")), "sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) with inter, the size of the intersection of the full sets; sets are made again for these documents only."""
-    ids = scratch(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = scratch(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id")), "sets")
+    """Pairs (a, b, n_a, n_b) with inter, the size of the intersection of the full sets."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("m_a", "m_b")).cast("long").alias("inter"))
 
@@ -165,15 +179,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = met.filter("vertex <> lead").select(F.col("lead").alias("a"), F.col("vertex").alias("b")).distinct()
     compared = scratch(confirmed(scratch(_within(stars, vertices), "stars"), docs), "compared")
-    first = scratch(connected(compared.filter(_linked()).select("a", "b")), "first")
-
+    component = scratch(connected(compared.filter(_linked()).select("a", "b")), "components")
+    met = met.drop("lead")
+    for turn in range(TURNS):
+        # groups of copies that aren't all like their first: other pivots, by a hash, where a key holds several components
+        named = scratch(_mixed_keys(met, component), "mixed")
+        pivot = named.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), F.xxhash64(F.lit(turn), "vertex")).alias("p"))
+        pairs = named.join(pivot, "key").filter("component <> p.component").select(F.least("vertex", "p.vertex").alias("a"), F.greatest("vertex", "p.vertex").alias("b")).distinct()
+        more = scratch(confirmed(scratch(_within(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), vertices), "pivots"), docs), "compared")
+        compared = compared.union(more)
+        if more.filter(_linked()).isEmpty():
+            break
+        component = scratch(connected(compared.filter(_linked()).select("a", "b")), "components")
     # each vertex' distance to its component's smallest vertex, where that was compared
-    named = met.select("key", "vertex", "n").join(first, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     far = compared.select(F.col("a").alias("component"), F.col("b").alias("vertex"), (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("off"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = scratch(named.join(mixed, "key").join(far, ["component", "vertex"], "left").withColumn("off", F.when(F.col("vertex") == F.col("component"), 0.0).otherwise(F.col("off"))), "open")
-    second = _across(open_, compared, vertices, docs)
-    links = compared.filter(_linked()).select("a", "b").unionByName(second)
+    named = _mixed_keys(met, component).join(far, ["component", "vertex"], "left")
+    open_ = scratch(named.withColumn("off", F.when(F.col("vertex") == F.col("component"), 0.0).otherwise(F.col("off"))), "open")
+    links = compared.filter(_linked()).select("a", "b").unionByName(_across(open_, compared, vertices, docs))
     component = scratch(connected(links), "components")
 
     of_set = vertices.select("digest", "n", "vertex").join(component, "vertex", "left").select("digest", F.coalesce("component", "vertex").alias("component"))
@@ -184,16 +206,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _mixed_keys(met: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of met under keys that hold several components, with the component."""
+    named = met.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    return named.join(mixed, "key")
+
+
 def _across(met: DataFrame, compared: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between vertices that share a key but not, so far, a component. met: key, vertex, n, component, off."""
-    # components that share a key, and how far apart their pivots are known to be
-    held = met.select("key", "component").distinct()
-    pairs = held.select("key", F.col("component").alias("c_a")).join(held.select("key", F.col("component").alias("c_b")), "key").filter("c_a < c_b")
+    load = met.groupBy("key", "component").agg(F.count("*").alias("h")).groupBy("key").agg(F.sum("h").alias("all"), F.sum(F.col("h") * F.col("h")).alias("within"))
+    crowded = scratch(load.select("key", (F.col("all") * F.col("all") - F.col("within") > 2 * CROWD * F.col("all")).alias("crowded")), "load")
+    light = met.join(crowded.filter("not crowded").select("key"), "key").withColumn("room", PER * F.col("n"))
+    dense = met.join(crowded.filter("crowded").select("key"), "key").select("vertex", "n", "component", "off").distinct()
+    found = _meeting(light, compared).union(_meeting(_rarest(scratch(dense, "dense"), docs), compared)).distinct()
+    untried = found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    return confirmed(scratch(_within(untried, vertices), "across"), docs).filter(_linked()).select("a", "b")
+
+
+def _meeting(met: DataFrame, compared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of vertices of different components that meet under a key. met: key, vertex, n, component, off, room.
+
+    room is PER * n - (PER + LEAST) * place, of the key among the ordered shingles (0 for other keys): the larger of two
+    linked sets has at most room / LEAST members, where the key is the first that they share.
+    """
+    of = met.groupBy("key", "component").agg(F.max("room").alias("room"), F.min("n").alias("n"))
+    end = lambda x: of.select("key", F.col("component").alias(f"c_{x}"), F.col("room").alias(f"room_{x}"), F.col("n").alias(f"n_{x}"))
+    fits = (F.col("room_a") >= LEAST * F.col("n_b")) & (F.col("room_b") >= LEAST * F.col("n_a"))
+    pairs = end("a").join(end("b"), "key").filter(F.col("c_a") < F.col("c_b")).filter(fits).select("key", "c_a", "c_b")
+    # how far apart the components' pivots are known to be
     apart = compared.select(F.col("a").alias("c_a"), F.col("b").alias("c_b"), (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("apart"))
     pairs = pairs.join(apart, ["c_a", "c_b"], "left")
-    side = lambda x: met.select("key", F.col("component").alias(f"c_{x}"), F.col("vertex").alias(x), F.col("n").alias(f"n_{x}"), F.col("off").alias(f"off_{x}"))
+    side = lambda x: met.select("key", F.col("component").alias(f"c_{x}"), F.col("vertex").alias(x), F.col("n").alias(f"n_{x}"), F.col("room").alias(f"room_{x}"), F.col("off").alias(f"off_{x}"))
     # apart <= off_a + distance(a, b) + off_b, so a larger one leaves no link; an unknown distance rules nothing out
     possible = F.coalesce(F.col("apart") <= F.col("off_a") + F.col("off_b") + (1 - LEAST / PER) + 1e-9, F.lit(True))
-    found = pairs.join(side("a"), ["key", "c_a"]).join(side("b"), ["key", "c_b"]).filter(_near_size("n_a", "n_b")).filter(possible)
-    untried = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return confirmed(scratch(_within(untried, vertices), "across"), docs).filter(_linked()).select("a", "b")
+    found = pairs.join(side("a"), ["key", "c_a"]).join(side("b"), ["key", "c_b"]).filter(fits).filter(possible)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rarest(dense: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of each vertex in dense (vertex, n, component, off), the rarest shingles, as keys, with room."""
+    sets = sets_of(dense.select(F.col("vertex").alias("doc_id")).distinct(), docs)
+    members = sets.select(F.col("doc_id").alias("vertex"), F.explode("members").alias("key"))
+    df = members.groupBy("key").agg(F.count("*").alias("df"))
+    # a shingle of one vertex only joins nothing, but takes a place among the rarest
+    ranked = members.join(df, "key").groupBy("vertex").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
+    n = F.size("r")
+    first = ranked.select("vertex", F.posexplode(F.slice("r", F.lit(1), n - F.ceil(n * LEAST / PER).cast("int") + 1)).alias("place", "x")).filter("x.df > 1")
+    return scratch(first.select("vertex", F.col("x.key").alias("key"), "place").join(dense, "vertex").withColumn("room", PER * F.col("n") - (PER + LEAST) * F.col("place")).drop("place"), "rarest")
