@@ -7,6 +7,9 @@ item must always stand for the same value of the document: a question asked anew
 chance likeness doesn't. An item is found in a document if consistent alignments hold at least SHARE per cent of the
 item's windows. A window counts only if at least LITERALS of its words are no placeholders.
 
+Other words are compared without regard to case; a name is known by its capital, so a text wholly in another case matches
+only where an item has no names.
+
 Items of fewer than WINDOW words have one window, of their own length; those of fewer than SHORTEST words have none.
 
 Benchmarks are small and documents are not: the benchmark's windows are counted and broadcast within a bound, beyond
