@@ -132,7 +132,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = with_windows(docs.filter("doc_id is not null").select("doc_id", marked_words().alias("words")), lengths)
     found = []
     for length in lengths:
-        here = windows.select("doc_id", "words", F.posexplode(f"w{length}").alias("at", "key"))
+        # the outer form: else a filter on the array is inferred and pushed down, and makes all windows again
+        here = windows.select("doc_id", "words", F.posexplode_outer(f"w{length}").alias("at", "key"))
         joined = here.join(keyed.filter(F.col("length") == length), "key")
         pairs = F.zip_with("holes", "slots", lambda i, v: F.struct(v.alias("item"), value(F.get("words", F.col("at") + i)).alias("doc")))
         found.append(joined.select("doc_id", "item_id", "item_at", "total", (F.col("at") - F.col("item_at")).alias("alignment"), pairs.alias("slots")))

@@ -39,7 +39,7 @@ def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", _hash_of(text).alias("row_hash"), _lines(text).alias("lines")).filter(F.size("lines") >= LINES)
     one = lambda i: F.slice("lines", i + 1, LINES)
     made = F.transform(F.sequence(F.lit(0), F.size("lines") - LINES), lambda i: F.struct(F.xxhash64(one(i)).alias("high"), F.xxhash64(F.lit("second"), one(i)).alias("low"), F.exists(one(i), lambda x: F.trim(x) != "").alias("said")))
-    return lines.select("doc_id", "row_hash", F.posexplode(made).alias("at", "w")).filter("w.said").select("doc_id", "row_hash", "at", "w.high", "w.low")
+    return lines.select("doc_id", "row_hash", F.posexplode_outer(made).alias("at", "w")).filter("w.said").select("doc_id", "row_hash", "at", "w.high", "w.low")
 
 
 def later_occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
