@@ -7,7 +7,8 @@ that any later occurrence covers are removed, overlapping occurrences merging in
 A window's occurrences are counted and their first found by partial aggregation, so a window in a third of all
 documents is reduced where it is read; the join back has one row for each window on its other side, and the planner
 splits its large partitions. Only windows, never texts, move in those steps; a document meets its own removed lines
-only, whose number its own length bounds.
+only, whose number its own length bounds. The documents with removed lines grow with the corpus, so they are never
+broadcast: texts move once, by document, at every size alike.
 
 Nulls, empty and repeated rows: null texts, and texts of fewer than three lines, are unchanged; rows with a null id
 have no order and are unchanged, and their windows don't count; rows with the same id and text are one document, and
@@ -55,7 +56,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     # the text moves as its lines, so that each line can be looked up by its number
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     split = docs.select(*others, F.col("doc_id").alias("__id"), _hash_of(text).alias("__hash"), _lines(text).alias("__text"))
-    joined = split.join(covered.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "__at"), ["__id", "__hash"], "left")
+    joined = split.join(covered.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "__at").hint("merge"), ["__id", "__hash"], "left")
     out = F.array_distinct(F.flatten(F.transform("__at", lambda i: F.sequence(i, i + LINES - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__text") - 1), out), lambda i: F.get("__text", i))
     n = F.when(F.col("__text").isNull(), 0).otherwise(F.size("__text"))
