@@ -7,7 +7,8 @@ writes the same bytes to the same name. The manifest, written last and also rena
 are read.
 
 Records of equal payload: the first by page_id is the response, the others revisit it. The first of each payload is
-found by partial aggregation, so a payload in a third of all rows is reduced where it is read.
+found by partial aggregation, so a payload in a third of all rows is reduced where it is read; only ids and digests are
+joined with it, and a payload moves once, to its shard. Rows of one id are in the order of payload digest and url.
 
 The folder may be in any store that pyarrow.fs knows by its URI.
 
@@ -127,18 +128,25 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int =
     fs.create_dir(base, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     bounds = shard_bounds(rows, shard)
-    rows = rows.withColumn("__sha", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("__sha").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
-    ordered = _with_shard(rows, bounds).join(first, "__sha", "left")
+    sha = F.sha1(F.col("html").cast("binary")).alias("__sha")
+    first = rows.select("page_id", sha).groupBy("__sha").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    # copies are found without their payloads, and each is announced to the writer by a row that sorts just before it
+    marks = rows.select("page_id", sha).join(first, "__sha").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "__sha", "__first")
+    none = rows.select("*", F.lit(None).cast("string").alias("__sha"), F.lit(None).cast("long").alias("__first"))
     n = len(bounds) + 1
-    dealt = ordered.select("__shard", "page_id", "url", "html", "__first", "__n").repartition(n, "__shard").sortWithinPartitions("__shard", F.col("page_id").asc_nulls_last(), "url", "html")
+    dealt = _with_shard(none.unionByName(marks), bounds).repartition(n, "__shard")
+    order = ["__shard", F.col("page_id").asc_nulls_last(), F.coalesce("__sha", sha), F.col("__sha").isNull(), "url"]
+    dealt = dealt.sortWithinPartitions(*order).select("__shard", "page_id", "url", "html", "__sha", "__first")
 
     def write(batches):
         fs, base = _store(folder)
-        file, shard, part, last, again, seen = None, None, 0, ..., 0, set()
+        file, shard, part, last, again, mark, seen = None, None, 0, ..., 0, None, False
         done = []
         for batch in batches:
-            for at, page_id, url, html, first_id, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, page_id, url, html, sha, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sha is not None:
+                    mark, seen = (page_id, sha, first_id), False
+                    continue
                 if file is not None and (at != shard or file.bytes >= roll):
                     done.append(file.close())
                     part, file = (part + 1 if at == shard else 0), None
@@ -146,17 +154,13 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int =
                     shard, part = at, 0
                 if file is None:
                     file = _File(fs, base, shard, part)
-                if page_id != last:
-                    again, seen = 0, set()
-                else:
-                    again += 1
+                again = again + 1 if page_id == last else 0
                 last = page_id
                 payload = html.encode()
-                key = hashlib.sha1(payload).digest() if copies else None
-                revisit = bool(copies) and (page_id != first_id or key in seen)
-                if copies:
-                    seen.add(key)
-                file.write(record(page_id, again, url, payload, first_id, revisit))
+                copies = mark is not None and mark[:2] == (page_id, hashlib.sha1(payload).hexdigest())
+                revisit = copies and (page_id != mark[2] or seen)
+                seen = seen or copies
+                file.write(record(page_id, again, url, payload, mark[2] if revisit else None, revisit))
         if file is not None:
             done.append(file.close())
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "records", "bytes", "sha256"), d, strict=True)) for d in done], schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
