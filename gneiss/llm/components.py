@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is a join and a partial aggregate on one vertex, so a hub with a third of all edges is split by the
-planner's skew handling and pre-aggregated before it moves; nothing but a convergence count reaches the driver. Each
-round is cut with checkpoint() in the shared folder.
+planner's skew handling and pre-aggregated before it moves; nothing but whether it is done reaches the driver. Each
+round is cut as a table in the shared folder, made once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import shared_dir
+from gneiss.llm.common import scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,19 +25,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: every u has one v, and no v is a u."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1 and out > 0").isEmpty()
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(vertex, component) of every vertex in edges (a, b); the component is the smallest vertex. Loops, repeats and nulls are ignored."""
-    shared_dir(edges.sparkSession)
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    before = None
-    for _ in range(rounds):
-        now = _star(_star(now, large=True), large=False).checkpoint()
-        # a star forest is a fixed point, and its size and sum no longer change
-        at = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if at == before:
-            break
-        before = at
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
+    now = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _done(now):
+        if not rounds:
+            raise RuntimeError("no fixed point")
+        now, rounds = scratch(_star(_star(now, large=True), large=False), "stars"), rounds - 1
     leaves = now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return leaves.union(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
