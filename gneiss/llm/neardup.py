@@ -14,7 +14,7 @@ What meets is confirmed on the full sets. Pairs within a group of copies are nev
 1. Documents with equal sets are one vertex (partial aggregation by set digest).
 2. Under each key every vertex is compared with the smallest one only: a number of pairs linear in the rows.
 3. Components of the confirmed links are found. Where a key still holds several, all its vertices are compared with
-   another pivot, by a hash, up to TURNS times, as long as that links something there. Only where a key still holds several components are pairs across
+   another pivot, by a hash, and where that links something with TURNS - 1 more. Only where a key still holds several components are pairs across
    components compared, and those that the triangle inequality of Jaccard distance rules out, by the known distances
    to each component's pivot, aren't.
 4. A key under which that would be more than CROWD pairs a vertex (a passage that many documents share) is crowded. Its
@@ -182,10 +182,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = scratch(connected(compared.filter(_linked()).select("a", "b")), "components")
     met = met.drop("lead")
     trying = met
-    for turn in range(TURNS):
+    for turns in (range(1), range(1, TURNS)):
         # groups of copies that aren't all like their first: other pivots, by a hash, where a key holds several components
         named = scratch(_mixed_keys(trying, component), "mixed")
-        pivot = named.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), F.xxhash64(F.lit(turn), "vertex")).alias("p"))
+        picked = [F.min_by(F.struct("vertex", "component"), F.xxhash64(F.lit(turn), "vertex")) for turn in turns]
+        pivot = named.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("p")).select("key", F.explode("p").alias("p"))
         pairs = named.join(pivot, "key").filter("component <> p.component").select(F.least("vertex", "p.vertex").alias("a"), F.greatest("vertex", "p.vertex").alias("b")).distinct()
         more = scratch(confirmed(scratch(_within(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), vertices), "pivots"), docs), "compared")
         compared = compared.union(more)
