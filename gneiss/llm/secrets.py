@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
-The base patterns find assignments, access keys and long hexadecimal runs. Besides, every run of 16 to 200 key-like
-characters near a sensitive word is a candidate: a compressor primed with a dictionary of code words and identifiers
-packs the text around it with and without it, and a candidate that costs nearly as many bytes as random characters
-of its alphabet would is reported as `novel`. Ordinary words and identifiers cost little; secrets can't be compressed.
+The base patterns find assignments, access keys and long hexadecimal runs. Besides, every whole run of 16 or more
+key-like characters near or around a sensitive word is a candidate: a compressor primed with a dictionary of code words
+and identifiers packs the text around it with and without it, and a candidate that costs nearly as many bytes as random
+characters of its alphabet would is reported as `novel`. Ordinary words and identifiers cost little; secrets can't be
+compressed. A run that holds the sensitive word itself, as in `auth=KEY` or `secret_access_key/KEY`, is scored without the name.
 
 Each text is scanned by itself and whole, so nothing is shuffled and no key can be hot; memory is that of one batch.
 
@@ -28,7 +29,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|secret|token|api.?key|auth|bearer|credential|private|signature|access.?key|jwt|client.?id|conn.?str|pwd", re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,200}", re.ASCII)
+LEAST = 16
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
+#: The rest of a name behind its sensitive word, and a further part of it, each with its separator; pieces of
+#: identifiers, and the characters that they have on average; what may stand before the word.
+REST = re.compile(r"[A-Za-z0-9]*(([+/_=-])\2*)", re.ASCII)
+PART = re.compile(r"([A-Z]?[a-z]{1,15}|[A-Z]{1,15}|[vV]?[0-9]{1,3})(([+/_=-])\3*)", re.ASCII)
+PIECE, LONGEST = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), 4
+HEAD = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+|[vV]?[0-9]{1,4})[+/_=-]+)*[A-Za-z]*", re.ASCII)
 #: Characters before a candidate in which a sensitive word counts, and that it is compressed against.
 NEAR, CONTEXT = 48, 256
 #: Least share of the bytes that as many random characters of base 64 would take.
@@ -68,6 +76,23 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(pack(before + own)) - len(pack(before))) / (len(own) * 0.75)
 
 
+def starts(text: str, start: int, end: int, word: tuple[int, int] | None, near: bool) -> list[int]:
+    """Where in the run text[start:end] a secret may begin, best first; word is the first sensitive word that ends in the run."""
+    out = [start] if near else []
+    if word and (m := REST.match(text, word[1], end)):
+        first = name = m.end()
+        by = m[2]
+        while (m := PART.match(text, name, end)) and (SENSITIVE.match(m[1]) or by != "=" and (m[3] in (by, "=") or m[1].lower() in WORDS)):
+            name, by = m.end(), m[3]
+        named = HEAD.fullmatch(text, start, max(start, word[0]))
+        out = [name, first, *out] if named else [*out, name, first]
+    elif word and not near and LONGEST * len(PIECE.findall(text, start, end)) > end - start:
+        out = [start]  # no separator: long pieces are those of an identifier
+    value = start + len(text[start:end].rstrip("="))
+    last = [text.rfind(c, start, value) + 1 for c in "=/+_-"]
+    return list(dict.fromkeys([*out, *(x for x in (last[0], max(last)) if x)]))
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) in code points, ordered."""
     if not text:
@@ -79,19 +104,24 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base = sorted(found)
     found = []
-    reach = -1  # candidates begin at most NEAR after a sensitive word, or where one reaches
-    for m in SENSITIVE.finditer(text):
-        at = max(m.end(), reach)
-        while (c := CANDIDATE.search(text, at, min(len(text), m.end() + NEAR + 200))) and c.start() <= m.end() + NEAR:
-            at = reach = c.end()
-            own = c.group()
-            if c.start() and CANDIDATE.match(text[c.start() - 1] * 16):
-                continue  # cut off from a longer run
-            if any(a < c.end() and c.start() < b for a, _, b in base):
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    after = 0  # the first word that ends behind the start of the run
+    for c in RUN.finditer(text) if words else ():
+        start, end = c.span()
+        while after < len(words) and words[after][1] <= start:
+            after += 1
+        near = after > 0 and start <= words[after - 1][1] + NEAR
+        word = words[after] if after < len(words) and words[after][1] <= end else None
+        if not near and not word:
+            continue
+        for at in starts(text, start, end, word, near):
+            own = text[at:end]
+            if len(own) < LEAST or any(a < end and at < b for a, _, b in base):
                 continue
             mixed = sum(bool(re.search(p, own)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-            if mixed >= 2 and novelty(text, c.start(), c.end()) >= NOVEL:
-                found.append((c.start(), 3, c.end()))
+            if mixed >= 2 and novelty(text, at, end) >= NOVEL:
+                found.append((at, 3, end))
+                break
     return sorted(base + found)
 
 

@@ -324,6 +324,19 @@ def test_novel_secrets_but_not_words(spark):
     assert [out[i].n_novel for i in range(5)] == [1, 0, 0, 0, 0]
 
 
+def test_secrets_joined_to_their_word_and_long_ones():
+    rnd = random.Random(12)
+    secret = "xK9fQ2mZ7vL4pR8tW1yB6nD3"
+    for name in ("auth=", "PWD=", "private_key=", "jwt=", "?signature=", "secret_", "aws_secret_access_key=", "auth/", "client_id-", "/v1/users/83/auth/", "credential+", "Bearer ", "api key="):
+        for key in (secret, secret + "==", "".join(rnd.choice("ABCDEFGHKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(240))):
+            text = f"set {name}{key} end"
+            assert secrets.spans(text) == [(text.index(key), 3, text.index(key) + len(key))], text
+    for text in (f"Bearer Q9z7xK1jwt/{secret}", f"auth{secret}"):
+        assert [text[a:b] for a, _, b in secrets.spans(text)] == [text.removeprefix("Bearer ")]
+    for text in ("authorFirstNameLastName2", f"a plain {secret}"):
+        assert not secrets.spans(text)
+
+
 # op9 ----------------------------------------------------------------------------------------------------------------
 
 
