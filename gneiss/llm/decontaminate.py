@@ -4,8 +4,8 @@ Numbers, names and units become typed placeholders, so that a question asked aga
 same template. Windows of WINDOW canonical words of every whole document are hash-joined with those of the benchmark;
 on a match the placeholders' values are compared. Within one alignment of an item with a document, each value of the
 item must always stand for the same value of the document: a question asked anew renames its slots consistently, a
-chance likeness doesn't. An item is found in a document if consistent alignments hold at least SHARE per cent of the
-item's windows. A window counts only if at least LITERALS of its words are no placeholders.
+chance likeness doesn't. Where a value stands for several, only the windows that hold it are void, and of those not the
+verbatim ones. An item is found in a document if the windows left hold at least SHARE per cent of the item's. A window counts only if at least LITERALS of its words are no placeholders.
 
 Other words are compared without regard to case; a name is known by its capital, so a text wholly in another case matches
 only where an item has no names.
@@ -143,10 +143,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item found), total and reparameterised, for every item found in a document."""
     found = matches(docs, benchmark)
-    aligned = found.groupBy("doc_id", "item_id", "alignment", "total").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    consistent = aligned.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))))
-    changed = F.exists("slots", lambda p: p["item"] != p["doc"])
-    by_item = consistent.groupBy("doc_id", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"), F.min(F.when(changed, 1).otherwise(0)).alias("changed"))
+    aligned = found.groupBy("doc_id", "item_id", "alignment", "total").agg(F.collect_set(F.struct("item_at", "slots")).alias("hits"))
+    aligned = aligned.withColumn("items", F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["slots"]))), lambda p: p["item"]))
+    # a value with several counterparts is there several times
+    aligned = aligned.withColumn("torn", F.filter(F.array_distinct("items"), lambda v: F.size(F.filter("items", lambda x: x == v)) > 1))
+    sound = lambda h: ~F.exists(h["slots"], lambda p: p["item"] != p["doc"]) | ~F.exists(h["slots"], lambda p: F.array_contains("torn", p["item"]))
+    changed = F.exists("hits", lambda h: F.exists(h["slots"], lambda p: p["item"] != p["doc"]))  # in void windows too
+    consistent = aligned.withColumn("changed", changed).withColumn("hits", F.filter("hits", sound)).filter(F.size("hits") > 0)
+    places = F.transform("hits", lambda h: h["item_at"])
+    by_item = consistent.groupBy("doc_id", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_set(places)))).alias("windows"), F.min(F.col("changed").cast("int")).alias("changed"))
     return by_item.filter(F.col("windows") * 100 >= SHARE * F.col("total")).select("doc_id", "item_id", F.col("windows").cast("long"), F.col("total").cast("long"), (F.col("changed") == 1).alias("reparameterised"))
 
 

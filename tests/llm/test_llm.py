@@ -203,6 +203,12 @@ def test_inconsistent_slots_do_not_match(spark):
     assert found(spark, good, bad, item=item) == {(0, 1): True}
 
 
+def test_an_inconsistent_slot_voids_only_its_windows(spark):
+    once = ITEM.replace("12", "7", 1)  # the other 12 stays
+    apart = once.replace("12 times", "9 times")
+    assert found(spark, once, apart) == {(0, 1): True, (1, 1): True}
+
+
 def test_short_items_and_empty_tables(spark):
     assert found(spark, "well, who wrote the red book then", item="who wrote the red book") == {(0, 1): False}
     empty = spark.createDataFrame([], "item_id long, text string")
