@@ -111,17 +111,43 @@ def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
     return (0.0 if k == 0 else solve(lambda p: 1 - binomial_cdf(k - 1, n, p) < tail)), (1.0 if k == n else solve(lambda p: binomial_cdf(k, n, p) > tail))
 
 
+def _drawn(pairs: DataFrame, draws: int, seed: int, totals, columns: str) -> DataFrame:
+    """draw and the sums of totals(rng, delta, n, draws) over the distinct deltas; each has its own stream by seed and value, however the rows are dealt."""
+
+    def run(batches):
+        import struct
+
+        import numpy as np
+        import pyarrow as pa
+
+        sums = None
+        for batch in batches:
+            for delta, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.array(totals(np.random.default_rng([seed, struct.unpack("<Q", struct.pack("<d", delta))[0]]), delta, n, draws), float)
+                sums = own if sums is None else sums + own
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(1, draws + 1), pa.int64()), *map(pa.array, sums)], names=["draw", *columns.split()])
+
+    groups = pairs.filter("delta is not null").groupBy(F.col("delta").cast("double").alias("delta")).agg(F.count("*").alias("n"))
+    each = groups.mapInArrow(run, ", ".join(["draw long", *(f"{c} double" for c in columns.split())]))
+    return each.groupBy("draw").agg(*(F.sum(c).alias(c) for c in columns.split()))
+
+
 def resampled(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Poisson-bootstrap means of delta, a draw; weights come from a hash of id and draw, so no shuffle but the sums. pairs: id, delta."""
-    each = pairs.select("id", "delta", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "id", "draw"), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)), F.lit(0))
-    return each.groupBy("draw").agg((F.sum(weight * F.col("delta")) / F.greatest(F.sum(weight), F.lit(1))).alias("mean"))
+    """Poisson-bootstrap means of delta, a draw: n equal deltas weigh Poisson(n) together. pairs: id, delta."""
+
+    def totals(rng, delta, n, draws):
+        weight = rng.poisson(n, draws)
+        return weight, weight * delta
+
+    return _drawn(pairs, draws, seed, totals, "w wd").select("draw", (F.col("wd") / F.greatest(F.col("w"), F.lit(1.0))).alias("mean"))
 
 
 def randomization_p(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Sign-flip p of the mean delta: (extreme + 1) / (draws + 1)."""
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "id", "draw"), F.lit(2)) == 0, 1).otherwise(-1)
-    each = pairs.select("id", "delta", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    flipped = each.groupBy("draw").agg(F.abs(F.sum(sign * F.col("delta"))).alias("s"), F.abs(F.sum("delta")).alias("o"))
+    """Sign-flip p of the mean delta: (extreme + 1) / (draws + 1). Of n equal deltas, Binomial(n, 1/2) keep their sign."""
+
+    def totals(rng, delta, n, draws):
+        return (2 * rng.binomial(n, 0.5, draws) - n) * delta, [n * delta] * draws
+
+    flipped = _drawn(pairs, draws, seed, totals, "s o").select(F.abs("s").alias("s"), F.abs("o").alias("o"))
     return flipped.agg(((_n(F.col("s") >= F.col("o") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))

@@ -500,9 +500,9 @@ def _pairs(spark, d) -> DataFrame:
 
 @query()
 def bootstrap_delta(spark, d):
-    return evaluate.resampled(_pairs(spark, d), 500, 4405).agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
+    return evaluate.resampled(_pairs(spark, d), 10_000, 4405).agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
 
 
 @query()
 def randomization_p(spark, d):
-    return evaluate.randomization_p(_pairs(spark, d), 500, 4405).select(F.round("p", 6).alias("p"))
+    return evaluate.randomization_p(_pairs(spark, d), 20_000, 4405).select(F.round("p", 6).alias("p"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,24 @@ def test_entry_imports_and_names_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_resampling_makes_the_draws_of_the_reference(spark, tmp_path):
+    from gneiss.plans import registry
+
+    rnd = random.Random(4)
+    rows = [(i, *rnd.choice([(0, 0), (1, 0), (1, 0), (1, 1)])) for i in range(400)] + [(900, None, 1)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert registry.queries()["randomization_p"](spark, str(tmp_path)).first().p == round(1 / 20_001, 6)
+    deltas = [q - t for _, q, t in rows if q is not None]
+    pairs = spark.createDataFrame([(i, float(x)) for i, x in enumerate(deltas)], "id long, delta double")
+    means = [r["mean"] for r in evaluate.resampled(pairs, 10_000, 4405).collect()]
+    mean = sum(deltas) / 400
+    spread = (sum((x - mean) ** 2 for x in deltas) / 400 / 400) ** 0.5
+    assert len(means) == 10_000 and abs(sum(means) / 10_000 - mean) < spread / 20
+    out = registry.queries()["bootstrap_delta"](spark, str(tmp_path)).first()
+    assert abs(out.low - mean + 1.96 * spread) < spread / 5 and abs(out.high - mean - 1.96 * spread) < spread / 5
+    assert registry.queries()["bootstrap_delta"](spark.newSession(), str(tmp_path)).first() == out
+    # sign flips of (1, 1, 1): all alike in 2 of 8
+    small = spark.createDataFrame([(i, 1.0) for i in range(3)], "id long, delta double")
+    assert abs(evaluate.randomization_p(small, 20_000, 1).first().p - 0.25) < 0.02 and evaluate.randomization_p(small.limit(0), 9, 1).first().p is None
