@@ -1,24 +1,35 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so that a question asked again with other numbers or names has the
-same template. Windows of WINDOW canonical words of every whole document are hash-joined with those of the benchmark;
-on a match the placeholders' values are compared. Within one alignment of an item with a document, each value of the
-item must always stand for the same value of the document: a question asked anew renames its slots consistently, a
-chance likeness doesn't. Where a value stands for several, only the windows that hold it are void, and of those not the
-verbatim ones. An item is found in a document if the windows left hold at least SHARE per cent of the item's. A window counts only if at least LITERALS of its words are no placeholders.
+same template. Windows of WINDOW canonical words of every whole document are hash-joined with those of the benchmark,
+and a match is compared word by word, so a chance equality of hashes counts for nothing. An item is looked up by kinds:
 
-Other words are compared without regard to case; a name is known by its capital, so a text wholly in another case matches
-only where an item has no names.
+* NAMED: numbers, units and names (any word of a capital and a small letter) are placeholders;
+* COUNTED: numbers and units are. A language that capitalises its nouns, and a text in other case, lose no word here;
+* VERBATIM: none are. It serves the items that the other two can't: those of fewer than SHORTEST words, and those of
+  which too few windows count.
 
-Items of fewer than WINDOW words have one window, of their own length; those of fewer than SHORTEST words have none.
+A window of the first two kinds counts if at least LITERALS of its words are no placeholders, and a kind serves an item
+of which at least half of the windows count. Items of fewer than WINDOW words have one window, of their own length.
 
-Benchmarks are small and documents are not: the benchmark's windows are counted and broadcast within a bound, beyond
-which the join shuffles; document windows move nowhere otherwise. Only matches are aggregated, by document and item.
+On a match the placeholders' values are compared. Within one alignment of an item with a document, each value of the item
+must always stand for the same value of the document: a question asked anew renames its slots consistently, a chance
+likeness doesn't. Where a value stands for several, only the windows that hold it are void, and of those not the verbatim
+ones. An item is found if the windows left hold at least SHARE per cent of those of a kind that count; by VERBATIM, if
+all its windows stand in a row.
+
+Case counts only for what is a name. Number words are words, so an item asked again in words is found only where enough
+other windows remain.
 
-Nulls, empty and repeated rows: null and empty texts, of either table, have no windows and match nothing; documents
-with a null id can't be reported and are left out of matches; repeated documents share one result, as do different
-texts under one id; repeated items are each reported under their own id; matches have no order, so ties do not arise;
-an empty table of either kind matches nothing; only doc_id, text and item_id are read, so other columns can't clash.
+Benchmarks are small and documents are not: the benchmark's windows are counted and broadcast within a bound, beyond
+which the join shuffles rows of one window of words each; document windows move nowhere otherwise. Documents are read
+once. Only matches are aggregated, by document and item.
+
+Nulls, empty and repeated rows: null and empty texts, and those without a word, of either table, have no windows and match
+nothing; documents with a null id can't be reported and are left out of matches; repeated documents share one result, as
+do different texts under one id; repeated items are each reported under their own id; matches have no order, so ties do
+not arise; an empty table of either kind matches nothing; characters that the operator uses as its own marks are taken out of
+texts first; only doc_id, text and item_id are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -28,15 +39,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import scratch, small
+from gneiss.llm.common import scratch
 
 WINDOW = 8
 LITERALS = 4
 SHORTEST = 5
 SHARE = 50
+#: Windows of the benchmark that are broadcast; one takes some 300 bytes.
+BROADCAST_WINDOWS = 200_000
+
+KINDS = NAMED, COUNTED, VERBATIM = range(3)
 
 #: Marks of the placeholders, from the private use area, and of a point or comma inside a number.
 NUMBER, UNIT, NAME, POINT = "", "", "", ""
+MARKS = NUMBER + UNIT + NAME + POINT
 
 UNITS = (
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -45,11 +61,6 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent mph kmh degrees degree"
 ).split()
 
-NAMES = (
-    "Alice Bob Carol Dave Eve Frank Grace Heidi Ivan Judy Mary John James Robert Michael William David Richard Joseph Thomas Sarah Linda Emma Olivia "
-    "Liam Noah Lucas Mia Anna Peter Paul Maria Tom Tim Jane Jack Sam Ben Lisa Kate Natalia Weng Betty Julie Mark Ken Albert Janet Josh Toula Carla Marissa"
-).split()
-
 #: (pattern, replacement) in order, for texts with a digit between added spaces.
 NUMBERS = (
     (r"([0-9])[.,]([0-9])", f"$1{POINT}$2"),
@@ -57,30 +68,35 @@ NUMBERS = (
     (rf"([0-9]) ?(%|{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})([^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 $3"),
     (rf"([0-9]+(?:{POINT}[0-9]+)*)", f" {NUMBER}$1 "),
 )
-#: Capitalised, but not at the start of a sentence and not all in capitals.
-INSIDE = (r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", f" {NAME}")
 #: Single characters where they can be, which Java matches by a bit set.
 SPLIT = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "%") + "\\xA1\\xAB\\xBB\\xBF\\x{2010}-\\x{2027}\\x{3000}-\\x{3002}]+"
+CAPITAL = r"^\p{Lu}\p{Ll}"
 
 
 def marked_words(text: str = "text") -> Column:
-    """The words of a text in order; numbers, units and inner names after their mark. The first and the last may be empty."""
-    spaced = F.concat(F.lit(" "), F.col(text), F.lit(" "))
-    numbered = F.when(F.col(text).rlike("[0-9]"), reduce(lambda t, r: F.regexp_replace(t, *r), NUMBERS, spaced)).otherwise(F.col(text))
-    return F.split(F.regexp_replace(numbered, *INSIDE), SPLIT, -1)
+    """The words of a text in order; numbers and units after their mark. The first and the last may be empty."""
+    own = F.translate(F.col(text), MARKS, "")
+    spaced = F.concat(F.lit(" "), own, F.lit(" "))
+    numbered = F.when(own.rlike("[0-9]"), reduce(lambda t, r: F.regexp_replace(t, *r), NUMBERS, spaced)).otherwise(own)
+    return F.split(numbered, SPLIT, -1)
 
 
 def _is_marked(word: Column) -> Column:
-    return (word >= NUMBER) & (word < POINT)
+    return (word >= NUMBER) & (word < NAME)
 
 
-def is_slot(word: Column) -> Column:
-    return _is_marked(word) | word.isin(NAMES)
+def is_slot(word: Column, kind: int) -> Column:
+    if kind == VERBATIM:
+        return F.lit(False)
+    return _is_marked(word) | word.rlike(CAPITAL) if kind == NAMED else _is_marked(word)
 
 
-def word_key(word: Column) -> Column:
-    """The hash of what a word is in a template."""
-    return F.when(_is_marked(word), F.xxhash64(F.substring(word, 1, 1))).when(word.isin(NAMES), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(F.lower(word)))
+def in_template(word: Column, kind: int) -> Column:
+    """What a word is in a template of a kind."""
+    if kind == VERBATIM:
+        return F.lower(word)
+    plain = F.when(_is_marked(word), F.substring(word, 1, 1))
+    return (plain.when(word.rlike(CAPITAL), F.lit(NAME)) if kind == NAMED else plain).otherwise(F.lower(word))
 
 
 def value(word: Column) -> Column:
@@ -88,71 +104,99 @@ def value(word: Column) -> Column:
     return F.lower(F.when(_is_marked(word), F.substring(word, 2, 1 << 30)).otherwise(word))
 
 
-def with_windows(words: DataFrame, lengths: list[int]) -> DataFrame:
-    """words has an array `words`; add arrays w<L>: the key of each window of L words. Halves are joined, so that a window costs log L hashes."""
-    out = words.withColumn("w1", F.transform("words", word_key))
-    done = {1}
+def _size(length: int) -> Column:
+    return F.greatest(F.size("words") - length + 1, F.lit(0))
+
+
+def _keys(kind: int, length: int) -> Column:
+    """The keys of all windows of a length, from the column h<kind> of the words' hashes."""
+    one = lambda i: F.xxhash64(F.lit(kind * 64 + length), *(F.get(f"h{kind}", i + j) for j in range(length)))
+    return F.when(_size(length) > 0, F.transform(F.sequence(F.lit(0), _size(length) - 1), one)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def windows(texts: DataFrame, id_: str, sorts: list[tuple[int, int]]) -> DataFrame:
+    """id, words, nth and key of every window; sorts lists (kind, length). place() tells where the nth window is."""
+    out = texts.filter(F.col(id_).isNotNull() & F.col("text").isNotNull()).select(id_, F.filter(marked_words(), lambda w: w != "").alias("words"))
+    hashes = lambda k: F.transform("words", lambda w: F.xxhash64(in_template(w, k)))
+    out = out.withColumns({f"h{k}": hashes(k) for k in sorted({k for k, _ in sorts})})
+    # the outer form: else a filter on the array is inferred and pushed down, and makes all windows again
+    return out.select(id_, "words", F.posexplode_outer(F.concat(*(_keys(k, n) for k, n in sorts))).alias("nth", "key"))
+
+
+def place(sorts: list[tuple[int, int]]) -> Column:
+    """The first word of the nth window, of the kind and length beside it."""
+    at, before = F.lit(None).cast("int"), F.lit(0)
+    for kind, length in sorts:
+        at = F.when((F.col("kind") == kind) & (F.col("length") == length), F.col("nth") - before).otherwise(at)
+        before = before + _size(length)
+    return at
 
-    def need(length: int) -> None:
-        nonlocal out
-        if length in done:
-            return
-        half = 1 << (length - 1).bit_length() - 1
-        need(half)
-        need(length - half)
-        n = F.greatest(F.size("words") - length + 1, F.lit(0))
-        out = out.withColumn(f"w{length}", F.zip_with(F.slice(f"w{half}", F.lit(1), n), F.slice(f"w{length - half}", F.lit(half + 1), n), lambda x, y: F.xxhash64(x, y)))
-        done.add(length)
 
-    for length in lengths:
-        need(length)
-    return out
+def _by_kind(make) -> Column:
+    return F.when(F.col("kind") == NAMED, make(NAMED)).when(F.col("kind") == COUNTED, make(COUNTED)).otherwise(make(VERBATIM))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_at, length, key, holes (places of slots) and slots (their values) of every window that counts, and total, their number in the item."""
+    """item_id, kind, length, item_at, key and own (the words) of every window that is looked up, and total, their number by kind."""
     words = benchmark.filter("item_id is not null and text is not null").select("item_id", F.filter(marked_words(), lambda w: w != "").alias("words"))
-    words = words.withColumn("length", F.least(F.size("words"), F.lit(WINDOW))).filter(F.col("length") >= SHORTEST)
-    sizes = range(SHORTEST, WINDOW + 1)
-    keyed = with_windows(words, list(sizes)).withColumn("keys", reduce(lambda e, n: e.when(F.col("length") == n, F.col(f"w{n}")), sizes, F.when(F.lit(False), F.array(F.lit(0).cast("long")))))
-    each = keyed.select("item_id", "length", "words", F.posexplode("keys").alias("item_at", "key"))
-    each = each.withColumn("own", F.slice("words", F.col("item_at") + 1, F.col("length"))).withColumn("holes", F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: is_slot(F.get("own", i))))
-    each = each.filter(F.col("length") - F.size("holes") >= F.least(F.lit(LITERALS), F.col("length") - 1))
-    each = each.select("item_id", "item_at", "length", "key", "holes", F.transform("holes", lambda i: value(F.get("own", i))).alias("slots")).distinct()
-    return each.join(each.groupBy("item_id").agg(F.countDistinct("item_at").alias("total")), "item_id")
+    words = words.filter(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(WINDOW))).distinct()
+    each = words.select("item_id", "length", F.size("words").alias("n"), F.explode(F.array(*map(F.lit, KINDS))).alias("kind"), "words")
+    each = each.select("item_id", "length", "n", "kind", "words", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("length"))).alias("item_at"))
+    each = each.withColumn("own", F.slice("words", F.col("item_at") + 1, F.col("length"))).drop("words")
+    literals = _by_kind(lambda k: F.size(F.filter("own", lambda w: ~is_slot(w, k))))
+    counts = (F.col("kind") < VERBATIM) & (F.col("n") >= SHORTEST) & (literals >= F.least(F.lit(LITERALS), F.col("length") - 1))
+    each = scratch(each.withColumn("counts", counts), "item_windows")
+    served = each.filter(F.col("kind") < VERBATIM).groupBy("item_id", "kind").agg(F.sum(F.col("counts").cast("int")).alias("c"), F.count("*").alias("n")).filter("c > 0 and 2 * c >= n")
+    used = each.filter("counts").join(served.select("item_id", "kind"), ["item_id", "kind"], "left_semi")
+    rest = each.filter(F.col("kind") == VERBATIM).join(served.select("item_id"), "item_id", "left_anti")
+    out = used.unionByName(rest)
+    hashes = F.transform("own", lambda w: _by_kind(lambda k: F.xxhash64(in_template(w, k))))
+    key = reduce(lambda e, n: e.when(F.col("length") == n, F.xxhash64(F.col("kind") * 64 + n, *(F.get("h", F.lit(j)) for j in range(n)))), range(2, WINDOW + 1), F.when(F.col("length") == 1, F.xxhash64(F.col("kind") * 64 + 1, F.get("h", F.lit(0)))))
+    total = out.groupBy("item_id", "kind").agg(F.countDistinct("item_at").alias("total"))
+    return out.withColumn("h", hashes).withColumn("key", key).select("item_id", "kind", "length", "item_at", "key", "own").distinct().join(total, ["item_id", "kind"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, item_at, total, alignment and slots (item and doc values) of every window in common."""
+    """doc_id, item_id, kind, item_at, total, alignment and slots (item and doc values) of every window in common."""
     items = scratch(item_windows(benchmark), "items")
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW - SHORTEST + 1 values
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_at int, total long, alignment int, slots array<struct<item: string, doc: string>>")
-    keyed = small(items, 200_000)
-    windows = with_windows(docs.filter("doc_id is not null").select("doc_id", marked_words().alias("words")), lengths)
-    found = []
-    for length in lengths:
-        # the outer form: else a filter on the array is inferred and pushed down, and makes all windows again
-        here = windows.select("doc_id", "words", F.posexplode_outer(f"w{length}").alias("at", "key"))
-        joined = here.join(keyed.filter(F.col("length") == length), "key")
-        pairs = F.zip_with("holes", "slots", lambda i, v: F.struct(v.alias("item"), value(F.get("words", F.col("at") + i)).alias("doc")))
-        found.append(joined.select("doc_id", "item_id", "item_at", "total", (F.col("at") - F.col("item_at")).alias("alignment"), pairs.alias("slots")))
-    return reduce(DataFrame.unionByName, found)
+    sorts = sorted((r["kind"], r["length"]) for r in items.select("kind", "length").distinct().collect())  # at most 3 * WINDOW values
+    if not sorts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind int, item_at int, total long, alignment int, slots array<struct<item: string, doc: string>>")
+    here = windows(docs, "doc_id", sorts)
+    if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        found = here.join(F.broadcast(items), "key").withColumn("at", place(sorts)).withColumn("said", F.slice("words", F.col("at") + 1, F.col("length")))
+    else:
+        found = _moving(here, sorts).join(items, "key")
+    same = _by_kind(lambda k: F.transform("said", lambda w: in_template(w, k)) == F.transform("own", lambda w: in_template(w, k)))
+    both = F.zip_with("own", "said", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    slots = F.transform(F.filter(both, lambda p: _by_kind(lambda k: is_slot(p["a"], k))), lambda p: F.struct(value(p["a"]).alias("item"), value(p["b"]).alias("doc")))
+    return found.filter(same).select("doc_id", "item_id", "kind", "item_at", "total", (F.col("at") - F.col("item_at")).alias("alignment"), slots.alias("slots"))
+
+
+def _moving(here: DataFrame, sorts: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, key, at and said of every window: for a join by shuffle, to which a row takes its own window's words and no others."""
+    start, kind, length = F.lit(0), F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, n in sorts:
+        reached = F.col("nth") >= start
+        kind, length, start = F.when(reached, k).otherwise(kind), F.when(reached, n).otherwise(length), start + _size(n)
+    own = here.filter("key is not null").withColumn("kind", kind).withColumn("length", length).withColumn("at", place(sorts))
+    return own.select("doc_id", "key", "at", F.slice("words", F.col("at") + 1, F.col("length")).alias("said"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item found), total and reparameterised, for every item found in a document."""
     found = matches(docs, benchmark)
-    aligned = found.groupBy("doc_id", "item_id", "alignment", "total").agg(F.collect_set(F.struct("item_at", "slots")).alias("hits"))
+    aligned = found.groupBy("doc_id", "item_id", "kind", "alignment", "total").agg(F.collect_set(F.struct("item_at", "slots")).alias("hits"))
     aligned = aligned.withColumn("items", F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["slots"]))), lambda p: p["item"]))
     # a value with several counterparts is there several times
     aligned = aligned.withColumn("torn", F.filter(F.array_distinct("items"), lambda v: F.size(F.filter("items", lambda x: x == v)) > 1))
     sound = lambda h: ~F.exists(h["slots"], lambda p: p["item"] != p["doc"]) | ~F.exists(h["slots"], lambda p: F.array_contains("torn", p["item"]))
     changed = F.exists("hits", lambda h: F.exists(h["slots"], lambda p: p["item"] != p["doc"]))  # in void windows too
-    consistent = aligned.withColumn("changed", changed).withColumn("hits", F.filter("hits", sound)).filter(F.size("hits") > 0)
-    places = F.transform("hits", lambda h: h["item_at"])
-    by_item = consistent.groupBy("doc_id", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_set(places)))).alias("windows"), F.min(F.col("changed").cast("int")).alias("changed"))
-    return by_item.filter(F.col("windows") * 100 >= SHARE * F.col("total")).select("doc_id", "item_id", F.col("windows").cast("long"), F.col("total").cast("long"), (F.col("changed") == 1).alias("reparameterised"))
+    consistent = aligned.withColumn("changed", changed).withColumn("places", F.array_distinct(F.transform(F.filter("hits", sound), lambda h: h["item_at"]))).filter(F.size("places") > 0)
+    by_kind = consistent.groupBy("doc_id", "item_id", "kind", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"), F.max(F.size("places")).alias("in_a_row"), F.min(F.col("changed").cast("int")).alias("changed"))
+    enough = F.when(F.col("kind") == VERBATIM, F.col("in_a_row") == F.col("total")).otherwise(F.col("windows") * 100 >= SHARE * F.col("total"))
+    by_item = by_kind.filter(enough).groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", F.col("windows").cast("long").alias("windows"), F.col("total").cast("long").alias("total"))).alias("best"), F.min("changed").alias("changed"))
+    return by_item.select("doc_id", "item_id", "best.windows", "best.total", (F.col("changed") == 1).alias("reparameterised"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -163,46 +163,57 @@ def _rewritten(column: str, rewrites) -> str:
 
 def _op6() -> str:
     d = decontaminate
-    inside = (r"([\p{Ll},;]) (\p{Lu}\p{Ll})", f"$1 {d.NAME}$2")  # without look-around, so twice
-    words = f"list_filter(regexp_split_to_array({_rewritten('marked', [inside, inside])}, {_sql_text(d.SPLIT)}), lambda x: x <> '')"
-    names = ", ".join(map(_sql_text, d.NAMES))
-    slot = lambda w: f"(({w} >= '{d.NUMBER}' AND {w} < '{d.POINT}') OR {w} IN ({names}))"
-    plain = f"CASE WHEN x >= '{d.NUMBER}' AND x < '{d.POINT}' THEN x[1] WHEN x IN ({names}) THEN '{d.NAME}' ELSE lower(x) END"
-    value = lambda w: f"lower(CASE WHEN {w} >= '{d.NUMBER}' AND {w} < '{d.POINT}' THEN {w}[2:] ELSE {w} END)"
-    numbered = _rewritten("' ' || text || ' '", d.NUMBERS)
+    own = f"translate(text, '{d.MARKS}', '')"
+    numbered = _rewritten(f"' ' || {own} || ' '", d.NUMBERS)
+    marked = lambda w: f"({w} >= '{d.NUMBER}' AND {w} < '{d.NAME}')"
+    capital = lambda w: f"regexp_matches({w}, '{d.CAPITAL}')"
+    template = "CASE WHEN kind = 2 THEN lower(x) WHEN {m} THEN x[1] WHEN kind = 0 AND {c} THEN '{n}' ELSE lower(x) END".format(m=marked("x"), c=capital("x"), n=d.NAME)
+    slot = lambda w: f"(kind < 2 AND ({marked(w)} OR kind = 0 AND {capital(w)}))"
+    value = lambda w: f"lower(CASE WHEN {marked(w)} THEN {w}[2:] ELSE {w} END)"
     return rf"""
 WITH raw AS (
-  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark
 ), m AS (
-  SELECT kind, id, CASE WHEN regexp_matches(text, '[0-9]') THEN {numbered} ELSE text END AS marked FROM raw WHERE text IS NOT NULL
+  SELECT side, id, CASE WHEN regexp_matches(text, '[0-9]') THEN {numbered} ELSE {own} END AS marked FROM raw WHERE text IS NOT NULL
 ), w AS (
-  SELECT kind, id, {words} AS words FROM m
+  SELECT side, id, list_filter(regexp_split_to_array(marked, {_sql_text(d.SPLIT)}), lambda x: x <> '') AS words FROM m
 ), p AS (
-  SELECT kind, id, words, list_transform(words, lambda x: {plain}) AS plain FROM w
+  SELECT side, id, kind, words, list_transform(words, lambda x: {template}) AS plain FROM w, (SELECT unnest([0, 1, 2]) AS kind)
 ), it AS (
-  SELECT id AS item_id, words, plain, least(len(words), {d.WINDOW}) AS length FROM p WHERE kind = 'b' AND len(words) >= {d.SHORTEST}
+  SELECT id AS item_id, kind, words, plain, least(len(words), {d.WINDOW}) AS length FROM p WHERE side = 'b' AND len(words) > 0
 ), iw AS (
-  SELECT item_id, i AS item_at, length, array_to_string(plain[i + 1:i + length], ' ') AS key, words[i + 1:i + length] AS own
+  SELECT item_id, kind, i AS item_at, length, len(words) AS n, array_to_string(plain[i + 1:i + length], ' ') AS key, words[i + 1:i + length] AS own
   FROM (SELECT *, unnest(range(len(words) - length + 1)) AS i FROM it)
-), counted AS (
-  SELECT * FROM (SELECT *, len(list_filter(own, lambda x: NOT {slot('x')})) AS literals FROM iw) WHERE literals >= least({d.LITERALS}, length - 1)
+), judged AS (
+  SELECT *, kind < 2 AND n >= {d.SHORTEST} AND len(list_filter(own, lambda x: NOT {slot('x')})) >= least({d.LITERALS}, length - 1) AS counts FROM iw
+), served AS (
+  SELECT item_id, kind FROM judged WHERE kind < 2 GROUP BY item_id, kind HAVING count(*) FILTER (counts) > 0 AND 2 * count(*) FILTER (counts) >= count(*)
+), used AS (
+  SELECT DISTINCT item_id, kind, item_at, length, key, own FROM judged WHERE counts AND (item_id, kind) IN (SELECT item_id, kind FROM served) OR kind = 2 AND item_id NOT IN (SELECT item_id FROM served)
 ), totals AS (
-  SELECT item_id, count(*) AS total FROM counted GROUP BY item_id
-), lengths AS (
-  SELECT DISTINCT length FROM counted
+  SELECT item_id, kind, count(DISTINCT item_at) AS total FROM used GROUP BY item_id, kind
+), sorts AS (
+  SELECT DISTINCT kind, length FROM used
 ), dw AS (
-  SELECT id AS doc_id, length, i AS pos, array_to_string(plain[i + 1:i + length], ' ') AS key, words[i + 1:i + length] AS said
-  FROM (SELECT id, words, plain, length, unnest(range(len(words) - length + 1)) AS i FROM p, lengths WHERE kind = 'd' AND len(words) >= length)
+  SELECT id AS doc_id, kind, length, i AS pos, array_to_string(plain[i + 1:i + length], ' ') AS key, words[i + 1:i + length] AS said
+  FROM (SELECT id, kind, words, plain, length, unnest(range(len(words) - length + 1)) AS i FROM p JOIN sorts USING (kind) WHERE side = 'd' AND len(words) >= length)
 ), hit AS (
-  SELECT DISTINCT doc_id, item_id, item_at, pos - item_at AS alignment, own, said FROM dw JOIN counted USING (key, length)
+  SELECT DISTINCT doc_id, item_id, kind, item_at, pos - item_at AS alignment, own, said FROM dw JOIN used USING (key, kind, length)
 ), pairs AS (
-  SELECT doc_id, item_id, alignment, {value('a')} AS item, {value('b')} AS doc FROM (SELECT doc_id, item_id, alignment, unnest(own) AS a, unnest(said) AS b FROM hit) WHERE {slot('a')}
+  SELECT doc_id, item_id, kind, item_at, alignment, {value('a')} AS item, {value('b')} AS doc FROM (SELECT * EXCLUDE (own, said), unnest(own) AS a, unnest(said) AS b FROM hit) WHERE {slot('a')}
 ), torn AS (
-  SELECT DISTINCT doc_id, item_id, alignment FROM (SELECT doc_id, item_id, alignment, item FROM pairs GROUP BY ALL HAVING count(DISTINCT doc) > 1)
+  SELECT doc_id, item_id, kind, alignment, item FROM pairs GROUP BY ALL HAVING count(DISTINCT doc) > 1
+), void AS (
+  SELECT DISTINCT doc_id, item_id, kind, alignment, item_at FROM pairs JOIN torn USING (doc_id, item_id, kind, alignment, item)
+  WHERE (doc_id, item_id, kind, alignment, item_at) IN (SELECT doc_id, item_id, kind, alignment, item_at FROM pairs WHERE item <> doc)
+), sound AS (
+  SELECT DISTINCT doc_id, item_id, kind, alignment, item_at FROM hit ANTI JOIN void USING (doc_id, item_id, kind, alignment, item_at)
 ), found AS (
-  SELECT doc_id, item_id, count(DISTINCT item_at) AS windows FROM hit ANTI JOIN torn USING (doc_id, item_id, alignment) GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, kind, count(DISTINCT item_at) AS windows, max(here) AS here
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, kind, alignment) AS here FROM sound) GROUP BY doc_id, item_id, kind
 ), leaked AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM found JOIN totals USING (item_id) WHERE windows * 100 >= {d.SHARE} * total GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found JOIN totals USING (item_id, kind) WHERE CASE WHEN kind = 2 THEN here = total ELSE windows * 100 >= {d.SHARE} * total END) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_items, 0) AS n_items, item_ids, n_items IS NOT NULL AS contaminated FROM documents LEFT JOIN leaked USING (doc_id)
 """

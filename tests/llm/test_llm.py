@@ -216,6 +216,57 @@ def test_short_items_and_empty_tables(spark):
     assert decontaminate.leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("item", ["what is 12 + 7 * 3 - 5", "who wrote it", "42", "12 7 3 5 8 9 13 14 15 16 17 18"])
+def test_items_that_no_template_serves_are_found_word_for_word(spark, item):
+    other = item.replace("12", "13").replace("wrote", "reads").replace("42", "43")
+    assert found(spark, f"Well, {item}? Yes.", f"Well, {other}? Yes.", item=item) == {(0, 1): False}
+
+
+def test_own_marks_in_texts_hide_nothing(spark):
+    marked = ITEM.replace("12", decontaminate.NUMBER + "12").replace(" sold", decontaminate.NAME + " sold")
+    assert found(spark, marked) == {(0, 1): False}
+    assert found(spark, ITEM, item=marked) == {(0, 1): False}
+
+
+def test_names_that_begin_sentences_are_names(spark):
+    item = "Priya buys 3 pens for the new school year. Priya then gives 2 pens to Omar before the lesson. Omar already has several pens at home and wants to count them."
+    again = item.replace("Priya", "Amina").replace("Omar", "Kofi").replace("3", "11").replace("2", "6")
+    assert found(spark, again, item=item) == {(0, 1): True}
+
+
+LANGUAGES = {
+    "en": "The farmer {0} picks {1} apples on the first day and {2} apples on the second day, and then sells {3} kg of them at the market before noon",
+    "de": "Der Bauer {0} pflückt am ersten Tag {1} Äpfel und am zweiten Tag {2} Birnen, und dann verkauft er {3} kg davon auf dem Markt in der Stadt vor dem Mittag",
+    "fr": "Le fermier {0} cueille {1} pommes le premier jour et {2} pommes le deuxième jour, puis il en vend {3} kg au marché de la ville avant midi",
+    "es": "El granjero {0} recoge {1} manzanas el primer día y {2} manzanas el segundo día, y luego vende {3} kg en el mercado de la ciudad antes del mediodía",
+}
+
+
+def test_recall_of_reparameterised_items_in_four_languages(spark):
+    rnd = random.Random(9)
+    make = lambda lang: LANGUAGES[lang].format(rnd.choice(["Anna", "Omar", "Priya", "Kofi"]), *rnd.sample(range(2, 99), 3))
+    bench = spark.createDataFrame([(i, make(lang)) for i, lang in enumerate(LANGUAGES)], "item_id long, text string")
+    rows = [(i, i % 4, "Eine Zeile davor. " + make(list(LANGUAGES)[i % 4]) + ". And after.") for i in range(100)]
+    clean = [(1000 + i, -1, words(rnd, 60)) for i in range(50)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame([(a, t) for a, _, t in rows + clean], DOCS), bench).collect()}
+    want = {(a, b) for a, b, _ in rows}
+    assert len(got & want) >= 90 and not got - want
+
+
+def test_the_join_by_shuffle_finds_the_same(spark, monkeypatch):
+    again = ITEM.replace("12", "7").replace("30", "1,250").replace("Mary", "Alice")
+    texts = [ITEM, "x " + again, "who wrote it", "nothing", None, "pad " * 3000 + ITEM]
+    one = found(spark, *texts)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert found(spark, *texts) == one == {(0, 1): False, (1, 1): True, (5, 1): False}
+
+
+def test_repeated_documents_and_items(spark):
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, ITEM), (5, ITEM), (5, "other")], DOCS)
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()] == [(5, 2, "1,2")]
+
+
 # op1 ----------------------------------------------------------------------------------------------------------------
 
 NASTY = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|>", "<\\\\/s>", "<<s>", "", "\n", "[\\INST]", "\\", "a<", "|im_end|>", "é漢\U0001f600"]
