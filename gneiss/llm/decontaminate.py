@@ -75,7 +75,7 @@ CAPITAL = r"^\p{Lu}\p{Ll}"
 
 def marked_words(text: str = "text") -> Column:
     """The words of a text in order; numbers and units after their mark. The first and the last may be empty."""
-    own = F.translate(F.col(text), MARKS, "")
+    own = reduce(lambda t, m: F.replace(t, F.lit(m), F.lit("")), MARKS, F.col(text))
     spaced = F.concat(F.lit(" "), own, F.lit(" "))
     numbered = F.when(own.rlike("[0-9]"), reduce(lambda t, r: F.regexp_replace(t, *r), NUMBERS, spaced)).otherwise(own)
     return F.split(numbered, SPLIT, -1)
@@ -104,32 +104,36 @@ def value(word: Column) -> Column:
     return F.lower(F.when(_is_marked(word), F.substring(word, 2, 1 << 30)).otherwise(word))
 
 
-def _size(length: int) -> Column:
-    return F.greatest(F.size("words") - length + 1, F.lit(0))
+def _hashes(kind: int) -> Column:
+    """The hashes of all words in templates of a kind."""
+    if kind == VERBATIM:
+        return F.transform("words", lambda w: F.xxhash64(F.lower(w)))
+    counted = F.transform("words", lambda w: F.when(_is_marked(w), F.xxhash64(F.substring(w, 1, 1))).otherwise(F.xxhash64(F.lower(w))))
+    small_letter = lambda w: (w >= "a") & (w < "{")  # noqa: E731  # spares most words the pattern
+    return counted if kind == COUNTED else F.zip_with("words", counted, lambda w, h: F.when(small_letter(w), h).when(w.rlike(CAPITAL), F.xxhash64(F.lit(NAME))).otherwise(h))
 
 
-def _keys(kind: int, length: int) -> Column:
-    """The keys of all windows of a length, from the column h<kind> of the words' hashes."""
-    one = lambda i: F.xxhash64(F.lit(kind * 64 + length), *(F.get(f"h{kind}", i + j) for j in range(length)))
-    return F.when(_size(length) > 0, F.transform(F.sequence(F.lit(0), _size(length) - 1), one)).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _key(kind: int, length: int, hash_at) -> Column:
+    """The key of one window: hash_at(i) is the hash of its word i. A window without a name has one key as NAMED and as COUNTED."""
+    return F.xxhash64(F.lit(length if kind == VERBATIM else -length), *(hash_at(i) for i in range(length)))
 
 
 def windows(texts: DataFrame, id_: str, sorts: list[tuple[int, int]]) -> DataFrame:
-    """id, words, nth and key of every window; sorts lists (kind, length). place() tells where the nth window is."""
-    out = texts.filter(F.col(id_).isNotNull() & F.col("text").isNotNull()).select(id_, F.filter(marked_words(), lambda w: w != "").alias("words"))
-    hashes = lambda k: F.transform("words", lambda w: F.xxhash64(in_template(w, k)))
-    out = out.withColumns({f"h{k}": hashes(k) for k in sorted({k for k, _ in sorts})})
-    # the outer form: else a filter on the array is inferred and pushed down, and makes all windows again
-    return out.select(id_, "words", F.posexplode_outer(F.concat(*(_keys(k, n) for k, n in sorts))).alias("nth", "key"))
-
+    """id, words, at (the first word) and key of every window of each (kind, length) in sorts.
 
-def place(sorts: list[tuple[int, int]]) -> Column:
-    """The first word of the nth window, of the kind and length beside it."""
-    at, before = F.lit(None).cast("int"), F.lit(0)
-    for kind, length in sorts:
-        at = F.when((F.col("kind") == kind) & (F.col("length") == length), F.col("nth") - before).otherwise(at)
-        before = before + _size(length)
-    return at
+    The hashes of words come from lambdas, once a word; windows are rows, and their keys compiled code.
+    """
+    out = texts.filter(F.col(id_).isNotNull() & F.col("text").isNotNull()).select(id_, F.filter(marked_words(), lambda w: w != "").alias("words"))
+    out = out.withColumns({f"h{k}": _hashes(k) for k in sorted({k for k, _ in sorts})}).filter(F.size("words") > 0)
+    out = out.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    none, each = F.expr("cast(array() as array<bigint>)"), []
+    for length in sorted({n for _, n in sorts}):
+        keys = {k: _key(k, length, lambda i: F.get(f"h{k}", F.col("at") + i)) for k, n in sorts if n == length}  # noqa: B023  # used at once
+        one = F.array(*keys.values())
+        if NAMED in keys and COUNTED in keys:
+            one = F.when(keys[NAMED] == keys[COUNTED], F.array(*(c for k, c in keys.items() if k != NAMED))).otherwise(one)
+        each.append(F.when(F.col("at") + length <= F.size("words"), one).otherwise(none))
+    return out.select(id_, "words", "at", F.explode(F.concat(*each)).alias("key"))
 
 
 def _by_kind(make) -> Column:
@@ -151,7 +155,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     rest = each.filter(F.col("kind") == VERBATIM).join(served.select("item_id"), "item_id", "left_anti")
     out = used.unionByName(rest)
     hashes = F.transform("own", lambda w: _by_kind(lambda k: F.xxhash64(in_template(w, k))))
-    key = reduce(lambda e, n: e.when(F.col("length") == n, F.xxhash64(F.col("kind") * 64 + n, *(F.get("h", F.lit(j)) for j in range(n)))), range(2, WINDOW + 1), F.when(F.col("length") == 1, F.xxhash64(F.col("kind") * 64 + 1, F.get("h", F.lit(0)))))
+    one = lambda n: _by_kind(lambda k: _key(k, n, lambda i: F.get("h", F.lit(i))))
+    key = reduce(lambda e, n: e.when(F.col("length") == n, one(n)), range(2, WINDOW + 1), F.when(F.col("length") == 1, one(1)))
     total = out.groupBy("item_id", "kind").agg(F.countDistinct("item_at").alias("total"))
     return out.withColumn("h", hashes).withColumn("key", key).select("item_id", "kind", "length", "item_at", "key", "own").distinct().join(total, ["item_id", "kind"])
 
@@ -164,25 +169,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind int, item_at int, total long, alignment int, slots array<struct<item: string, doc: string>>")
     here = windows(docs, "doc_id", sorts)
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        found = here.join(F.broadcast(items), "key").withColumn("at", place(sorts)).withColumn("said", F.slice("words", F.col("at") + 1, F.col("length")))
-    else:
-        found = _moving(here, sorts).join(items, "key")
+        items = F.broadcast(items)
+    else:  # a row takes its own window's words to the shuffle, and no others
+        here = here.withColumn("words", F.slice("words", F.col("at") + 1, F.lit(WINDOW))).withColumn("from", F.lit(1))
+    first = F.col("from") if "from" in here.columns else F.col("at") + 1
+    found = here.join(items, "key").withColumn("said", F.slice("words", first, F.col("length")))
     same = _by_kind(lambda k: F.transform("said", lambda w: in_template(w, k)) == F.transform("own", lambda w: in_template(w, k)))
     both = F.zip_with("own", "said", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     slots = F.transform(F.filter(both, lambda p: _by_kind(lambda k: is_slot(p["a"], k))), lambda p: F.struct(value(p["a"]).alias("item"), value(p["b"]).alias("doc")))
     return found.filter(same).select("doc_id", "item_id", "kind", "item_at", "total", (F.col("at") - F.col("item_at")).alias("alignment"), slots.alias("slots"))
 
 
-def _moving(here: DataFrame, sorts: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, key, at and said of every window: for a join by shuffle, to which a row takes its own window's words and no others."""
-    start, kind, length = F.lit(0), F.lit(None).cast("int"), F.lit(None).cast("int")
-    for k, n in sorts:
-        reached = F.col("nth") >= start
-        kind, length, start = F.when(reached, k).otherwise(kind), F.when(reached, n).otherwise(length), start + _size(n)
-    own = here.filter("key is not null").withColumn("kind", kind).withColumn("length", length).withColumn("at", place(sorts))
-    return own.select("doc_id", "key", "at", F.slice("words", F.col("at") + 1, F.col("length")).alias("said"))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item found), total and reparameterised, for every item found in a document."""
     found = matches(docs, benchmark)
