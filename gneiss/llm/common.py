@@ -17,27 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset and Spark is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if at is None:
-        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="gneiss-")
+        at = sc.getCheckpointDir()
+    if at is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="gneiss-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def scratch(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back; its path is added to paths.
 
     This cuts the lineage: a lost executor costs a reread of finished files, never a second run of what made them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gneiss-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df, a scratch table of a few numbers a row, is counted and within the bound; otherwise leave the join to the planner's shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -31,12 +31,14 @@ def _done(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1 and out > 0").isEmpty()
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(vertex, component) of every vertex in edges (a, b); the component is the smallest vertex. Loops, repeats and nulls are ignored."""
-    now = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while not _done(now):
-        if not rounds:
-            raise RuntimeError("no fixed point")
-        now, rounds = scratch(_star(_star(now, large=True), large=False), "stars"), rounds - 1
+def connected(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """(vertex, component) of every vertex in edges (a, b); the component is the smallest vertex. Loops, repeats and nulls are ignored.
+
+    Every round that isn't the last moves a vertex to a smaller one, so rounds end. paths gets the scratch tables' paths.
+    """
+    now, done = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), False
+    while not done:
+        now = scratch(_star(_star(now, large=True), large=False), "stars", paths)
+        done = _done(now)
     leaves = now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return leaves.union(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())

@@ -124,8 +124,9 @@ def windows(texts: DataFrame, id_: str, sorts: list[tuple[int, int]]) -> DataFra
     The hashes of words come from lambdas, once a word; windows are rows, and their keys compiled code.
     """
     out = texts.filter(F.col(id_).isNotNull() & F.col("text").isNotNull()).select(id_, F.filter(marked_words(), lambda w: w != "").alias("words"))
-    out = out.withColumns({f"h{k}": _hashes(k) for k in sorted({k for k, _ in sorts})}).filter(F.size("words") > 0)
-    out = out.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    out = out.withColumns({f"h{k}": _hashes(k) for k in sorted({k for k, _ in sorts})})
+    # the outer form: else a filter on the words is inferred and pushed down, and makes them again
+    out = out.withColumn("at", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))))
     none, each = F.expr("cast(array() as array<bigint>)"), []
     for length in sorted({n for _, n in sorts}):
         keys = {k: _key(k, length, lambda i: F.get(f"h{k}", F.col("at") + i)) for k, n in sorts if n == length}  # noqa: B023  # used at once
@@ -162,11 +163,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, kind, item_at, total, alignment and slots (item and doc values) of every window in common."""
+    """doc_id, item_id, kind, item_at, total, alignment, slots (item and doc values) and same (whether it isn't the hashes alone) of every window in common."""
     items = scratch(item_windows(benchmark), "items")
     sorts = sorted((r["kind"], r["length"]) for r in items.select("kind", "length").distinct().collect())  # at most 3 * WINDOW values
     if not sorts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind int, item_at int, total long, alignment int, slots array<struct<item: string, doc: string>>")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind int, item_at int, total long, alignment int, slots array<struct<item: string, doc: string>>, same boolean")
     here = windows(docs, "doc_id", sorts)
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
@@ -177,13 +178,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = _by_kind(lambda k: F.transform("said", lambda w: in_template(w, k)) == F.transform("own", lambda w: in_template(w, k)))
     both = F.zip_with("own", "said", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     slots = F.transform(F.filter(both, lambda p: _by_kind(lambda k: is_slot(p["a"], k))), lambda p: F.struct(value(p["a"]).alias("item"), value(p["b"]).alias("doc")))
-    return found.filter(same).select("doc_id", "item_id", "kind", "item_at", "total", (F.col("at") - F.col("item_at")).alias("alignment"), slots.alias("slots"))
+    # a column and no filter: as a condition of the join it would keep the join from being compiled with the windows
+    return found.select("doc_id", "item_id", "kind", "item_at", "total", (F.col("at") - F.col("item_at")).alias("alignment"), slots.alias("slots"), same.alias("same"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item found), total and reparameterised, for every item found in a document."""
     found = matches(docs, benchmark)
-    aligned = found.groupBy("doc_id", "item_id", "kind", "alignment", "total").agg(F.collect_set(F.struct("item_at", "slots")).alias("hits"))
+    aligned = found.groupBy("doc_id", "item_id", "kind", "alignment", "total").agg(F.collect_set(F.when(F.col("same"), F.struct("item_at", "slots"))).alias("hits"))
     aligned = aligned.withColumn("items", F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["slots"]))), lambda p: p["item"]))
     # a value with several counterparts is there several times
     aligned = aligned.withColumn("torn", F.filter(F.array_distinct("items"), lambda v: F.size(F.filter("items", lambda x: x == v)) > 1))

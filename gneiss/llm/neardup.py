@@ -6,27 +6,35 @@ bits each, in CHUNKS chunks. The distance of two signatures is the number of sym
 
 Multi-index: two signatures within CHUNKS * (ERRORS + 1) - 1 = 27 symbols of each other have, by pigeonhole, at least
 one chunk with at most ERRORS = 1 differing symbol. All chunk errors that are allowed are enumerated, as the chunk
-without each of its symbols in turn, and indexed; so every such pair meets under some key. Beyond that distance a pair
-still meets unless each of its 14 chunks has two errors: at a similarity of exactly 0.75 that is a chance of
-0.37 ** 14, under one in a million.
+without each of its symbols in turn, and indexed; so every such pair meets under some key. What meets is confirmed on the
+full sets, so no link is false.
 
-What meets is confirmed on the full sets. Pairs within a group of copies are never enumerated:
-1. Documents with equal sets are one vertex (partial aggregation by set digest).
-2. Under each key every vertex is compared with the smallest one only: a number of pairs linear in the rows.
+What can be missed: a linked pair further apart than 27 symbols meets only if one of its 14 chunks has at most one
+error, and a pair that meets is confirmed only within FAR symbols. At a similarity of exactly 0.75 the first fails by a
+chance of 0.37 ** 14, under one in a million, and the second of under one in 10 ** 8; both fall steeply above it.
+
+Pairs within a group of copies are never enumerated:
+1. Documents with equal sets are one vertex, named by its place in the order of document ids (partial aggregation by
+   set digest). Two texts under one id are two vertices.
+2. Under each key every vertex is compared with the first one only: a number of pairs linear in the rows.
 3. Components of the confirmed links are found. Where a key still holds several, all its vertices are compared with
-   another pivot, by a hash, and where that links something with TURNS - 1 more. Only where a key still holds several components are pairs across
-   components compared, and those that the triangle inequality of Jaccard distance rules out, by the known distances
-   to each component's pivot, aren't.
+   TURNS more pivots, by hashes. Only where a key then still holds several components are pairs across components
+   compared, and those that the triangle inequality of Jaccard distance rules out, by the known distances to each
+   component's pivot, aren't.
 4. A key under which that would be more than CROWD pairs a vertex (a passage that many documents share) is crowded. Its
    vertices are joined by an exact way instead: of each set, ordered by how many of these vertices hold a shingle, the
    rarest n - ceil(0.75 n) + 1; two sets that are linked share one of those, at places that leave room for enough others,
    and a common passage isn't among them.
-So no link between different texts is lost, and no key is dropped or cut.
+No key is dropped or cut. A family of texts that are all just less alike than 0.75 and share their rare shingles is
+compared pair by pair, since nothing short of that tells which pairs are links.
+
+Texts are read twice more after the sketch, for the sets of those that a pair needs: they are joined with those vertices
+by broadcast within a counted bound, else by a shuffle.
 
 Nulls, empty and repeated rows: null and blank texts have an empty set, link with nothing and are kept; rows with a
-null id have a null component, link with nothing and are kept; rows with the same id are one vertex; ties do not
-occur, since a component is named by its smallest id; an empty table gives an empty table; only doc_id and text are
-read, so other columns can't clash.
+null id have a null component, link with nothing and are kept; repeated rows are one vertex, and rows with one id and
+different texts get a result each, by their own text; ties do not occur, since a component is named by its smallest id;
+an empty table gives an empty table; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import scratch, small
+from gneiss.llm.common import discard, scratch
 from gneiss.llm.components import connected
 
 WIDTH = 5
@@ -52,6 +60,8 @@ CROWD = 4
 TURNS = 3
 #: Shingles that are hashed at a time.
 BLOCK = 4096
+#: Vertices that are broadcast to find their texts; one takes some 100 bytes.
+BROADCAST_SETS = 250_000
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -111,16 +121,24 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole set as an array of longs."""
+    """vertex and the whole set as an array of longs, of every row (vertex, digest, text) whose set has that digest; a task gives a vertex once."""
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
+        seen = set()
         for batch in batches:
-            own = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            vertices, own = [], []
+            for vertex, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if vertex not in seen and xxh3_128_digest((x := shingles(text)).tobytes()) == digest:
+                    seen.add(vertex)
+                    vertices.append(vertex)
+                    own.append(x.view(np.int64))
             ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
             values = np.concatenate(own) if own else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["vertex", "members"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, members array<long>")
+    return docs.mapInArrow(run, "vertex long, members array<long>")
 
 
 def index_keys(signature: str = "signature") -> Column:
@@ -152,16 +170,19 @@ def _within(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_size("n_a", "n_b")).filter(_differing("s_a", "s_b") <= FAR).select("a", "b", "n_a", "n_b")
 
 
-def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id and members of the documents in ids (doc_id, distinct); sets are made again for these only."""
-    ids = scratch(ids, "ids")
-    return scratch(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id")), "sets")
+def sets_of(ids: DataFrame, most: int, vertices: DataFrame, docs: DataFrame, keep) -> DataFrame:
+    """vertex and members of the vertices in ids (vertex, distinct; at most so many), each once; sets are made again for these only."""
+    wanted = vertices.select("vertex", "first_id", "digest").join(ids, "vertex", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    sets = keep(full_sets(texts.join(F.broadcast(wanted) if most <= BROADCAST_SETS else wanted, "first_id").select("vertex", "digest", "text")), "sets")
+    # repeated documents that several tasks read
+    again = sets.groupBy("vertex").agg(F.count("*").alias("held")).filter("held > 1")
+    return sets if again.isEmpty() else keep(sets.dropDuplicates(["vertex"]), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, n_a, n_b) with inter, the size of the intersection of the full sets."""
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m_{x}"))
+    side = lambda x: sets.select(F.col("vertex").alias(x), F.col("members").alias(f"m_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("m_a", "m_b")).cast("long").alias("inter"))
 
 
@@ -171,45 +192,58 @@ def _linked() -> Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    spark, paths = docs.sparkSession, []
+    keep = lambda df, name: scratch(df, name, paths)
     rows = scratch(sketch(docs), "sketch")
-    vertices = scratch(rows.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("vertex"), F.first("signature").alias("signature")), "vertices")
+    by_set = rows.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
+    # numbers are given once, as the table is written; any later stage reads them
+    vertices = scratch(by_set.orderBy("first_id", "digest").withColumn("vertex", F.monotonically_increasing_id()), "vertices")
+    component = _components(vertices, docs, keep, paths)
+    named = vertices.select("digest", "first_id", "vertex").join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    of_set = scratch(named.join(named.groupBy("component").agg(F.min("first_id").alias("least_id")), "component").select("digest", "least_id"), "of_set")
+    discard(spark, paths)
+    return rows.join(of_set, "digest", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _components(vertices: DataFrame, docs: DataFrame, keep, paths: list[str]) -> DataFrame:
+    """(vertex, component) of every vertex with a link."""
     keys = vertices.select("vertex", "n", F.explode(index_keys()).alias("key"))
     shared = keys.groupBy("key").agg(F.min("vertex").alias("lead"), F.count("*").alias("held")).filter("held > 1").select("key", "lead")
-    met = scratch(keys.join(shared, "key"), "met")  # key, vertex, n, lead
+    met = keep(keys.join(shared, "key"), "met")  # key, vertex, n, lead
 
     stars = met.filter("vertex <> lead").select(F.col("lead").alias("a"), F.col("vertex").alias("b")).distinct()
-    compared = scratch(confirmed(scratch(_within(stars, vertices), "stars"), docs), "compared")
-    component = scratch(connected(compared.filter(_linked()).select("a", "b")), "components")
-    met = met.drop("lead")
-    trying = met
-    for turns in (range(1), range(1, TURNS)):
-        # groups of copies that aren't all like their first: other pivots, by a hash, where a key holds several components
-        named = scratch(_mixed_keys(trying, component), "mixed")
-        picked = [F.min_by(F.struct("vertex", "component"), F.xxhash64(F.lit(turn), "vertex")) for turn in turns]
-        pivot = named.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("p")).select("key", F.explode("p").alias("p"))
-        pairs = named.join(pivot, "key").filter("component <> p.component").select(F.least("vertex", "p.vertex").alias("a"), F.greatest("vertex", "p.vertex").alias("b")).distinct()
-        more = scratch(confirmed(scratch(_within(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), vertices), "pivots"), docs), "compared")
-        compared = compared.union(more)
-        new = more.filter(_linked())
-        if new.isEmpty():
-            break
-        component = scratch(connected(compared.filter(_linked()).select("a", "b")), "components")
-        # the next pivots are tried only under keys of vertices that this one linked
-        live = new.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-        trying = named.drop("component").join(named.join(live, "vertex", "left_semi").select("key").distinct(), "key", "left_semi")
-    # each vertex' distance to its component's smallest vertex, where that was compared
+    stars = keep(_within(stars, vertices), "stars")
+    ids = stars.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    compared = keep(confirmed(stars, sets_of(ids, 2 * stars.count(), vertices, docs, keep)), "compared")
+    component = connected(compared.filter(_linked()).select("a", "b"), paths)
+
+    # groups of copies that aren't all like their first
+    named = keep(_mixed_keys(met.drop("lead"), component), "mixed")
+    held = named.count()
+    if not held:
+        return component
+    sets = sets_of(named.select("vertex").distinct(), held, vertices, docs, keep)
+    picked = [F.min_by(F.struct("vertex", "component"), F.xxhash64(F.lit(turn), "vertex")) for turn in range(TURNS)]
+    pivot = named.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("p")).select("key", F.explode("p").alias("p"))
+    pairs = named.join(pivot, "key").filter("component <> p.component").select(F.least("vertex", "p.vertex").alias("a"), F.greatest("vertex", "p.vertex").alias("b")).distinct()
+    more = keep(confirmed(keep(_within(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), vertices), "pivots"), sets), "compared")
+    compared = keep(compared.union(more), "compared")
+    if not more.filter(_linked()).isEmpty():
+        component = connected(compared.filter(_linked()).select("a", "b"), paths)
+        named = _mixed_keys(named.drop("component"), component)
+    # each vertex' distance to its component's first vertex, where that was compared
     far = compared.select(F.col("a").alias("component"), F.col("b").alias("vertex"), (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("off"))
-    named = _mixed_keys(met, component).join(far, ["component", "vertex"], "left")
-    open_ = scratch(named.withColumn("off", F.when(F.col("vertex") == F.col("component"), 0.0).otherwise(F.col("off"))), "open")
-    links = compared.filter(_linked()).select("a", "b").unionByName(_across(open_, compared, vertices, docs))
-    component = scratch(connected(links), "components")
-
-    of_set = vertices.select("digest", "n", "vertex").join(component, "vertex", "left").select("digest", F.coalesce("component", "vertex").alias("component"))
-    return rows.join(of_set, "digest", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    off = F.when(F.col("vertex") == F.col("component"), 0.0).otherwise(F.col("off"))
+    open_ = keep(named.join(far, ["component", "vertex"], "left").withColumn("off", off), "open")
+    if open_.isEmpty():
+        return component
+    across = _across(open_, compared, vertices, sets, keep)
+    new = keep(across, "across")
+    return connected(compared.filter(_linked()).select("a", "b").unionByName(new), paths) if not new.isEmpty() else component
 
 
 def _mixed_keys(met: DataFrame, component: DataFrame) -> DataFrame:
@@ -219,15 +253,19 @@ def _mixed_keys(met: DataFrame, component: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def _across(met: DataFrame, compared: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
+def _across(met: DataFrame, compared: DataFrame, vertices: DataFrame, sets: DataFrame, keep) -> DataFrame:
     """Links between vertices that share a key but not, so far, a component. met: key, vertex, n, component, off."""
     load = met.groupBy("key", "component").agg(F.count("*").alias("h")).groupBy("key").agg(F.sum("h").alias("all"), F.sum(F.col("h") * F.col("h")).alias("within"))
-    crowded = scratch(load.select("key", (F.col("all") * F.col("all") - F.col("within") > 2 * CROWD * F.col("all")).alias("crowded")), "load")
-    light = met.join(crowded.filter("not crowded").select("key"), "key").withColumn("room", PER * F.col("n"))
-    dense = met.join(crowded.filter("crowded").select("key"), "key").select("vertex", "n", "component", "off").distinct()
-    found = _meeting(light, compared).union(_meeting(_rarest(scratch(dense, "dense"), docs), compared)).distinct()
+    crowded = keep(load.select("key", (F.col("all") * F.col("all") - F.col("within") > 2 * CROWD * F.col("all")).alias("crowded")), "load")
+    columns = ["key", "vertex", "n", "component", "off", "room"]
+    by_key = met.join(crowded.filter("not crowded").select("key"), "key").withColumn("room", PER * F.col("n")).select(columns)
+    if not crowded.filter("crowded").isEmpty():
+        dense = met.join(crowded.filter("crowded").select("key"), "key").select("vertex", "n", "component", "off").distinct()
+        # the two kinds of key are both hashes; if two were equal, that would be a candidate more
+        by_key = by_key.union(keep(_rarest(dense, sets), "rarest").select(columns))
+    found = _meeting(by_key, compared)
     untried = found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return confirmed(scratch(_within(untried, vertices), "across"), docs).filter(_linked()).select("a", "b")
+    return confirmed(_within(untried, vertices), sets).filter(_linked()).select("a", "b")
 
 
 def _meeting(met: DataFrame, compared: DataFrame) -> DataFrame:
@@ -250,13 +288,12 @@ def _meeting(met: DataFrame, compared: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rarest(dense: DataFrame, docs: DataFrame) -> DataFrame:
+def _rarest(dense: DataFrame, sets: DataFrame) -> DataFrame:
     """Of each vertex in dense (vertex, n, component, off), the rarest shingles, as keys, with room."""
-    sets = sets_of(dense.select(F.col("vertex").alias("doc_id")).distinct(), docs)
-    members = sets.select(F.col("doc_id").alias("vertex"), F.explode("members").alias("key"))
+    members = sets.join(dense.select("vertex"), "vertex", "left_semi").select("vertex", F.explode("members").alias("key"))
     df = members.groupBy("key").agg(F.count("*").alias("df"))
     # a shingle of one vertex only joins nothing, but takes a place among the rarest
     ranked = members.join(df, "key").groupBy("vertex").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
     n = F.size("r")
     first = ranked.select("vertex", F.posexplode(F.slice("r", F.lit(1), n - F.ceil(n * LEAST / PER).cast("int") + 1)).alias("place", "x")).filter("x.df > 1")
-    return scratch(first.select("vertex", F.col("x.key").alias("key"), "place").join(dense, "vertex").withColumn("room", PER * F.col("n") - (PER + LEAST) * F.col("place")).drop("place"), "rarest")
+    return first.select("vertex", F.col("x.key").alias("key"), "place").join(dense, "vertex").withColumn("room", PER * F.col("n") - (PER + LEAST) * F.col("place")).drop("place")

@@ -144,6 +144,38 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, crowd):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
+def test_one_id_with_two_texts_is_two_vertices(spark):
+    rnd = random.Random(3)
+    a = words(rnd, 100).split()
+    c = a[:80] + words(rnd, 20).split()  # near a by 0.6
+    docs = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(c[60:] + words(rnd, 60).split())), (2, " ".join(c)), (2, " ".join(c))], DOCS)
+    assert [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()] == [(1, 1, True)] * 2 + [(2, 2, True)] * 2
+    both = spark.createDataFrame([(3, " ".join(a)), (3, " ".join(a)), (3, "other words"), (4, " ".join(a[:-1] + ["x"])), (2, "other  WORDS")], DOCS)
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(both).collect())
+    assert out == [(2, 1, 2), (3, 1, 2), (3, 96, 3), (3, 96, 3), (4, 96, 3)]
+
+
+def test_recall_by_band_of_similarity(spark):
+    """Pairs of 400-word texts with the last words changed, at known similarities; those of 0.75 or more are links and no other is."""
+    rnd = random.Random(17)
+    rows, want = [], {}
+    for i in range(300):
+        base = words(rnd, 404).split()
+        gone = rnd.randint(1, 110)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: len(base) - gone] + words(rnd, gone).split()))]
+        same = 400 - gone
+        want[2 * i + 1] = 100 * same >= 75 * (800 - same)
+    out = {r.doc_id: r.kept for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert 100 < sum(want.values()) < 300 and all(out[i] != near for i, near in want.items())
+
+
+def test_long_texts_are_one_set(spark):
+    rnd = random.Random(2)
+    long = words(rnd, 60_000)
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x " * 100_000)], DOCS)
+    assert [(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
