@@ -18,30 +18,48 @@ from gneiss.llm.queries import tokenizer
 LEAST_LIKE = 0.25
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a letter, and those unlike every learned language."""
-    judged = langid.annotate(docs, langid.fit(docs))
-    return judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LIKE)).select(*docs.columns)
+    """Reject documents without a letter, and those unlike every learned language.
+
+    A null or empty text has no letter; repeated rows share a fate; no column of docs is changed or read but doc_id, text and
+    lang; an empty table stays empty, and one without any labelled row loses all, since it has no language to be like.
+    """
+    judged = langid.annotate(docs, langid.fit(docs), "__lang_pred", "__score")
+    return judged.filter((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_LIKE)).select(*_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated three-line windows; a document of which no word is left goes."""
+    """Remove repeated three-line windows; a document of which no word is left goes.
+
+    Null texts, and rows with a null id, stay as they are; repeated rows are one document and stay alike; n_chars is counted
+    again where lines went, if docs has it; other columns pass.
+    """
     out = linededup.dedup_lines(docs)
     whole = F.col("__removed") == 0
-    n = F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars")
-    return out.filter(whole | F.col("text").rlike(r"\S")).select(*(n if c == "n_chars" else c for c in docs.columns))
+    n = F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars") if "n_chars" in docs.columns else None
+    return out.filter(whole | F.col("text").rlike(r"\S")).select(*(n if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
-    gone = scratch(neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id"), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of each group of near duplicates: that with the smallest id, once if its row is repeated.
+
+    Null, blank and id-less documents are in no group and stay; texts under one id are told apart; other columns pass.
+    """
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove documents that hold a benchmark item, as it is or with other numbers, names and units."""
-    gone = scratch(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Remove documents that hold a benchmark item, as it is or with other numbers, names and units.
+
+    Null and empty texts hold none; a document with a null id can't be named and stays; all rows of an id go if one of them
+    holds an item; an empty benchmark removes nothing; other columns pass.
+    """
+    gone = scratch(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")), "gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col("__id"), "left_anti").select(*_columns(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +75,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL can't express language profiles or byte-pair merges; tests hold each stage against brute force.
+#: SQL can't express language profiles or byte-pair merges; tests/llm hold run() on a small table against a plain restatement of each stage.
 ORACLE_SQL = None
 
 

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.llm.common import values
+
 #: Texts of more characters than this are cut.
 PIECE_CHARS = 1 << 16
-#: Runs of one class of more characters than this are merged by themselves.
-RUN_CHARS = 1 << 12
 
 #: A place where a match must end and another begin: plain white space after something else.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
@@ -41,7 +41,7 @@ def encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, pattern, size: int = PIECE_CHARS, run: int = RUN_CHARS) -> Iterator[tuple[str, bool]]:
+def pieces(text: str, pattern, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
     """Yield (piece, is_one_match) in order; the pieces join up to the text."""
     start, end = 0, len(text)
     while end - start > size:
@@ -92,7 +92,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 
         enc, pat = encoder(ranks_path, pattern), regex.compile(pattern)
         for batch in batches:
-            ids = [encode_text(t or "", enc, pat) for t in batch.column(source).to_pylist()]
+            ids = [encode_text(t or "", enc, pat) for t in values(batch.column(source))]
             columns = [batch.column(n) for n in names] + [pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, out])
 
@@ -107,7 +107,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids
     def run(batches):
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            raw = [None if i is None else enc.decode_bytes(i) for i in batch.column(source).to_pylist()]
+            raw = [None if i is None else enc.decode_bytes(i) for i in values(batch.column(source))]
             columns = [batch.column(n) for n in names] + [pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, out])
 
@@ -127,7 +127,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         decimal = [str(i) for i in range(enc.n_vocab)]
         for batch in batches:
             lengths, of_ids, of_bytes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 ids = encode_text(text or "", enc, pat)
                 lengths.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def values(column: pa.Array) -> Iterator:
+    """The values of an Arrow column one at a time. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch); this keeps its texts from being held twice."""
+    return (x.as_py() for x in column)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df, a scratch table of a few numbers a row, is counted and within the bound; otherwise leave the join to the planner's shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.llm.common import values
+
 #: n-grams in a profile.
 PROFILE = 400
 #: Labelled rows that are learned from, a language, in expectation.
 FIT_ROWS = 2_000
-#: Languages that can be learned.
+#: Languages that are learned: those with the most labelled rows.
 FIT_LANGS = 1_000
 #: Characters that are counted at a time.
 BLOCK = 1 << 20
@@ -122,9 +124,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) -> Model:
     """Learn profiles from text and lang of the rows of docs that aren't held out."""
     labelled = docs.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = labelled.groupBy("lang").count().limit(FIT_LANGS + 1).collect()
-    if len(found) > FIT_LANGS:
-        raise ValueError(f"lang has more than {FIT_LANGS} values")
+    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
     if not found:
         return model_of({}, size)
     share = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))))
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) -> Model:
     def count(batches):
         total: dict[str, list] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 own = total.setdefault(lang, [])
                 own.append(ngrams(text))
                 if len(own) == 256:
@@ -152,14 +152,14 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) -> Model:
     return model_of(profiles, size)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """Add lang_pred and score; only the text is looked at."""
-    names = [f.name for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
-    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def annotate(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the two columns pred and score; only the text is looked at."""
+    names = [f.name for f in docs.schema.fields if f.name.lower() not in (pred.lower(), score.lower())]
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            out = [model.predict(t) for t in batch.column("text").to_pylist()]
+            out = [model.predict(t) for t in values(batch.column("text"))]
             columns = [*(batch.column(n) for n in names), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

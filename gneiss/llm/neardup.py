@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import discard, scratch
+from gneiss.llm.common import discard, scratch, small, values
 from gneiss.llm.components import connected
 
 WIDTH = 5
@@ -102,22 +102,28 @@ def signature(own: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(64 - BITS)).astype(">u2")
 
 
+def row_hash(text: str = "text") -> Column:
+    """What tells texts under one id apart."""
+    return F.xxhash64(F.lit("row"), F.col(text).cast("string"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), digest (of the set) and signature of every row; the last two are null for an empty set."""
+    """doc_id, row_hash, n (size of the set), digest (of the set) and signature of every row; the last two are null for an empty set."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             n, digest, sign = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 own = shingles(text)
                 n.append(len(own))
                 digest.append(xxh3_128_digest(own.tobytes()) if len(own) else None)
                 sign.append(signature(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], names=["doc_id", "n", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], names=["doc_id", "row_hash", "n", "digest", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, signature binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), row_hash().alias("row_hash"))
+    return texts.mapInArrow(run, "doc_id long, row_hash long, n long, digest binary, signature binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -129,14 +135,14 @@ def full_sets(docs: DataFrame) -> DataFrame:
         seen = set()
         for batch in batches:
             vertices, own = [], []
-            for vertex, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for vertex, digest, text in zip(*map(values, batch.columns), strict=True):
                 if vertex not in seen and xxh3_128_digest((x := shingles(text)).tobytes()) == digest:
                     seen.add(vertex)
                     vertices.append(vertex)
                     own.append(x.view(np.int64))
             ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
-            values = np.concatenate(own) if own else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["vertex", "members"])
+            flat = np.concatenate(own) if own else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["vertex", "members"])
 
     return docs.mapInArrow(run, "vertex long, members array<long>")
 
@@ -192,6 +198,31 @@ def _linked() -> Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    return decided(docs).drop("row_hash")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: of its smallest id, and there of the smallest row_hash; of repeated rows any one."""
+    paths = []
+    out = scratch(decided(docs), "decided", paths)
+    gone = out.filter(~F.col("kept")).select("doc_id", "row_hash").distinct()
+    # a component whose smallest id has several rows
+    several = out.filter(F.col("kept") & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id", "component_id").agg(F.count("*").alias("held"), F.min("row_hash").alias("first")).filter("held > 1")
+    several = scratch(several.select("doc_id", "first"), "several", paths)
+    also = out.filter("kept").join(several, "doc_id").filter(F.col("row_hash") != F.col("first")).select("doc_id", "row_hash").distinct()
+    gone = scratch(gone.union(also), "gone")
+    keyed = docs.withColumn("__row_hash", row_hash()).withColumn("__id", F.col("doc_id").cast("long"))
+    left = keyed.join(small(gone.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row_hash"))), ["__id", "__row_hash"], "left_anti")
+    if several.isEmpty():
+        discard(docs.sparkSession, paths)
+        return left.select(*(f"`{c}`" for c in docs.columns))
+    ids = several.select(F.col("doc_id").alias("__id"))
+    once = left.join(ids, "__id", "left_semi").dropDuplicates(["__id", "__row_hash"])
+    return left.join(ids, "__id", "left_anti").unionByName(once).select(*(f"`{c}`" for c in docs.columns))
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """What near_duplicates() gives, and the row_hash of each row's text."""
     spark, paths = docs.sparkSession, []
     keep = lambda df, name: scratch(df, name, paths)
     rows = scratch(sketch(docs), "sketch")
@@ -204,6 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     discard(spark, paths)
     return rows.join(of_set, "digest", "left").select(
         "doc_id",
+        "row_hash",
         F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

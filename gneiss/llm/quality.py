@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import scratch, small
+from gneiss.llm.common import scratch, small, values
 
 #: Labelled rows that are learned from, in expectation.
 FIT_ROWS = 20_000
@@ -89,7 +89,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [statistics(t) for t in batch.column(1).to_pylist()]
+            rows = [statistics(t) for t in values(batch.column(1))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *names])
 
@@ -188,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
     draw = F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = scratch(asked.filter(draw < min(1.0, rows / n)), "drawn")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(drawn.select("doc_id")), "doc_id")
-    made = with_statistics(chosen).filter(~base_failed()).join(drawn, "doc_id").select("doc_id", "quality", *(c.alias(n) for n, c in features().items()))
+    # rows of one id count once, with the least statistics, so that repeats can't break the bound
+    once = with_statistics(chosen).groupBy("doc_id").agg(F.min(F.struct(*BASE, *MORE)).alias("s")).select("doc_id", "s.*")
+    made = once.filter(~base_failed()).join(drawn, "doc_id").select("doc_id", "quality", *(c.alias(n) for n, c in features().items()))
     found = sorted(made.collect(), key=lambda r: (hash(r["doc_id"] * 0x9E3779B1 % (1 << 32)), tuple(r)))
     if not found:
         return []

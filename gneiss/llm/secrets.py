@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import values
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -134,7 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            each = [spans(t) for t in batch.column(1).to_pylist()]
+            each = [spans(t) for t in values(batch.column(1))]
             count = lambda kind: pa.array([sum(k == kind for _, k, _ in s) for s in each], pa.int64())
             digest = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(count(k) for k in range(4)), pa.array(digest, pa.string()), pa.array([joined(s) for s in each], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import values
+
 #: Compressed bytes after which a file is closed.
 ROLL = 64 << 20
 #: Payload bytes aimed at for a shard.
@@ -143,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int =
         file, shard, part, last, again, mark, seen = None, None, 0, ..., 0, None, False
         done = []
         for batch in batches:
-            for at, page_id, url, html, sha, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, page_id, url, html, sha, first_id in zip(*map(values, batch.columns), strict=True):
                 if sha is not None:
                     mark, seen = (page_id, sha, first_id), False
                     continue
