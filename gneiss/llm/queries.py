@@ -54,7 +54,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), tokenizer()[0])
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,17 +221,34 @@ SELECT doc_id, coalesce(n_items, 0) AS n_items, item_ids, n_items IS NOT NULL AS
 
 def _op9() -> str:
     canonical = lambda t: f"trim({_rewritten(f'chr(10) || lower({t}) || chr(10)', licenses.REWRITES)})"
-    rows = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, _, t in licenses.KNOWN)
+    forms = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in licenses.KNOWN)
+    digests = ", ".join(f"({_sql_text(i)}, {_sql_text(t)}, {n}, '{d}')" for i, t, n, d in licenses.DIGESTS)
+    names = ", ".join(_sql_text(i) for i in sorted({i for i, *_ in (*licenses.KNOWN, *licenses.DIGESTS)}))
     return rf"""
-WITH known AS (
-  SELECT DISTINCT {canonical('t')} AS form, license_id FROM (VALUES {rows}) v(license_id, t)
-), line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents
+WITH made AS (
+  SELECT DISTINCT license_id, {canonical('t')} AS form FROM (VALUES {forms}) v(license_id, t)
+), k AS (
+  SELECT license_id, string_split(form, ' ')[1:{licenses.ANCHOR}] AS first, len(string_split(form, ' ')) AS n, md5(form) AS digest FROM made
+  UNION ALL SELECT license_id, string_split(first, ' '), n, digest FROM (VALUES {digests}) v(license_id, first, n, digest)
+), d AS (
+  SELECT doc_id, text, {canonical('text')} AS form FROM documents WHERE regexp_matches(lower(text), '{licenses.HINT}')
+), w AS (
+  SELECT doc_id, string_split(form, ' ') AS words FROM d
+), span AS (
+  SELECT DISTINCT doc_id, license_id, pos + n AS place FROM (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM w), k
+  WHERE words[pos + 1] = first[1] AND words[pos + 1:pos + len(first)] = first AND len(words) >= pos + n AND md5(array_to_string(words[pos + 1:pos + n], ' ')) = digest
+), tag AS (
+  SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(x, '\s+(?:[Oo][Rr]|[Aa][Nn][Dd]|[Ww][Ii][Tt][Hh])\s+|[()\s]+')), '(-only|-or-later|[+])$', '') AS license_id
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_sql_text(licenses.TAG)}, 1)) AS x FROM d)
 ), found AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM (SELECT doc_id, {canonical('t')} AS form FROM line) JOIN known USING (form) GROUP BY doc_id
+  SELECT doc_id, license_id FROM span UNION ALL SELECT doc_id, license_id FROM tag WHERE license_id IN ({names})
+), held AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM found GROUP BY doc_id
+), whole AS (
+  SELECT doc_id, min(license_id) AS license_id FROM d JOIN k ON md5(d.form) = k.digest GROUP BY doc_id
 )
-SELECT documents.doc_id, k.license_id AS document_license, coalesce(n, 0) AS n_notices, ids AS notices
-FROM documents LEFT JOIN known k ON k.form = {canonical('text')} LEFT JOIN found ON found.doc_id = documents.doc_id
+SELECT documents.doc_id, whole.license_id AS document_license, coalesce(held.n, 0) AS n_notices, held.ids AS notices
+FROM documents LEFT JOIN whole ON whole.doc_id = documents.doc_id LEFT JOIN held ON held.doc_id = documents.doc_id
 """
 
 

@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
 The base patterns find assignments, access keys and long hexadecimal runs. Besides, every whole run of 16 or more
-key-like characters near or around a sensitive word is a candidate: a compressor primed with a dictionary of code words
-and identifiers packs the text around it with and without it, and a candidate that costs nearly as many bytes as random
-characters of its alphabet would is reported as `novel`. Ordinary words and identifiers cost little; secrets can't be
-compressed. A run that holds the sensitive word itself, as in `auth=KEY` or `secret_access_key/KEY`, is scored without the name.
+key-like characters near or around a sensitive word is a candidate. A compressor is primed with a dictionary of the pieces that
+words and identifiers are made of (those of a public tokenizer's vocabulary, whose rank file is a parameter, and WORDS in the forms that code has them) and packs the text around the candidate with and without it, in lower
+case. A candidate that costs nearly as many bytes as random characters of its alphabet would is reported as `novel`. Words and
+identifiers cost about two thirds of that, however they are joined; secrets can't be compressed. A run that holds the sensitive
+word itself, as in `auth=KEY` or `secret_access_key/KEY`, is scored without the name.
 
-Each text is scanned by itself and whole, so nothing is shuffled and no key can be hot; memory is that of one batch.
+Each text is scanned by itself and whole, so nothing is shuffled and no key can be hot; memory is that of one batch and of the
+dictionary, of some 0.2 MB with a vocabulary of 50,000.
 
 Nulls, empty and repeated rows: a null text has no spans; rows are independent, so repeated rows and ties between rows
 have no effect; spans with an equal start are ordered assign, access, hex, novel; a novel span that overlaps a base one
@@ -15,8 +17,10 @@ isn't reported; an empty table gives an empty table; only doc_id and text are re
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -41,8 +45,15 @@ PIECE, LONGEST = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), 4
 HEAD = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+|[vV]?[0-9]{1,4})[+/_=-]+)*[A-Za-z]*", re.ASCII)
 #: Characters before a candidate in which a sensitive word counts, and that it is compressed against.
 NEAR, CONTEXT = 48, 256
-#: Least share of the bytes that as many random characters of base 64 would take.
-NOVEL = 0.85
+#: Least share of the bytes that as many random characters of the candidate's alphabet would take. Set between made-up
+#: identifiers and random keys of 16 to 64 characters; tests/llm holds it to other such ones, and to longer ones.
+NOVEL = 0.74
+#: Code that is packed before every context, since the compressor leaves a block alone that has too little to gain.
+PAD = b"config value = get_value(self.value); password = os.environ[name] if name else none; return self.config.value\n" * 2
+#: Letters that a piece of the vocabulary has at least to be in the dictionary; the compressor's level.
+LETTERS, LEVEL = 4, 12
+
+_HEX, _BASE36 = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 
 #: What identifiers and code around secrets are made of.
 WORDS = (
@@ -61,21 +72,41 @@ WORDS = (
 ).split()
 
 
+def pieces(ranks_path: str) -> list[bytes]:
+    """The pieces of letters in a vocabulary, in lower case, in the order of rank, which is that of frequency."""
+    with open(ranks_path, "rb") as f:
+        words = (base64.b64decode(line.split()[0]).strip().lower() for line in f)
+        return list(dict.fromkeys(w for w in words if len(w) >= LETTERS and w.isalpha() and w.isascii()))
+
+
 @functools.cache
-def _packer():
+def _packer(ranks_path: str):
     import zstandard
 
-    primed = "\n".join(f"{w} {w.upper()} {w.capitalize()} {w}_id = get_{w}(self.{w});" for w in WORDS)
-    primed += "\n".join(["abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef", "aaaaaaaaaaaaaaaaaaaaaaaa xxxxxxxxxxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXXXXXX 000000000000000000000000 ------------------------ ________________ ================"])
-    return zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(primed.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    primed = b" ".join(reversed(pieces(ranks_path)))  # the nearest are the cheapest
+    primed += "\n".join(["", *(f"{w} {w}_id = get_{w}(self.{w});" for w in WORDS), "abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef"]).encode()
+    primed += b"\n".join([b"", b"a" * 24, b"x" * 24, b"0" * 24, b"-" * 24, b"_" * 16, b"=" * 16])
+    held = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+@functools.cache
+def _random_bytes(ranks_path: str, length: int, digits: str) -> float:
+    """What so many random characters of an alphabet take, on average of three."""
+    pack, rnd = _packer(ranks_path).compress, random.Random(length)
+    made = ["".join(rnd.choices(digits, k=length)).encode() for _ in range(3)]
+    return sum(len(pack(PAD + m)) - len(pack(PAD)) for m in made) / 3
 
 
-def novelty(text: str, start: int, end: int) -> float:
+def novelty(text: str, start: int, end: int, ranks_path: str) -> float:
     """The marginal compressed bytes of text[start:end] after its context, as a share of what random characters take."""
-    before = text[max(0, start - CONTEXT) : start].encode()
-    own = text[start:end].encode()
-    pack = _packer().compress
-    return (len(pack(before + own)) - len(pack(before))) / (len(own) * 0.75)
+    before = PAD + text[max(0, start - CONTEXT) : start].lower().encode()
+    own = text[start:end].lower()
+    pack = _packer(ranks_path).compress
+    size = len(own) if len(own) < 512 else len(own) // 64 * 64  # few values to keep
+    each = _random_bytes(ranks_path, size, _HEX if set(own) <= set(_HEX) else _BASE36) / size
+    return (len(pack(before + own.encode())) - len(pack(before))) / (len(own) * each)
 
 
 def starts(text: str, start: int, end: int, word: tuple[int, int] | None, near: bool) -> list[int]:
@@ -95,7 +126,7 @@ def starts(text: str, start: int, end: int, word: tuple[int, int] | None, near:
     return list(dict.fromkeys([*out, *(x for x in (last[0], max(last)) if x)]))
 
 
-def spans(text: str | None) -> list[tuple[int, int, int]]:
+def spans(text: str | None, ranks_path: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) in code points, ordered."""
     if not text:
         return []
@@ -121,7 +152,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
             if len(own) < LEAST or any(a < end and at < b for a, _, b in base):
                 continue
             mixed = sum(bool(re.search(p, own)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-            if mixed >= 2 and novelty(text, at, end) >= NOVEL:
+            if mixed >= 2 and novelty(text, at, end, ranks_path) >= NOVEL:
                 found.append((at, 3, end))
                 break
     return sorted(base + found)
@@ -131,12 +162,12 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every whole text."""
 
     def run(batches):
         for batch in batches:
-            each = [spans(t) for t in values(batch.column(1))]
+            each = [spans(t, ranks_path) for t in values(batch.column(1))]
             count = lambda kind: pa.array([sum(k == kind for _, k, _ in s) for s in each], pa.int64())
             digest = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(count(k) for k in range(4)), pa.array(digest, pa.string()), pa.array([joined(s) for s in each], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
