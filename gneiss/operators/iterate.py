@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.store import shared_dir
 
-def ready(spark: SparkSession) -> None:
-    """Make checkpoint() possible; the folder is the cluster's, a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gneiss-"))
 
-
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): every node that can be reached from any seed, seeds included at depth 0, with the least depth.
 
-    edges: src, dst. A round is one join and one anti join on the node; lineage is cut by a checkpoint a round.
+    edges: src, dst. A round is one join and one anti join on the node; lineage is cut by a checkpoint a round. Every round finds
+    a node at least, so rounds end; there are as many as the longest of the shortest paths has edges.
     """
-    ready(edges.sparkSession)
+    shared_dir(edges.sparkSession)  # so that checkpoint() knows where
     edges = edges.select("src", "dst").distinct().checkpoint()
     front = seeds.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
     seen = front
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
         front = front.join(seen.select("node"), "node", "left_anti").checkpoint()
         if front.isEmpty():
@@ -32,4 +28,3 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
         seen = seen.union(front)
         if depth % 8 == 0:
             seen = seen.checkpoint()
-    raise RuntimeError(f"still growing after {rounds} rounds")

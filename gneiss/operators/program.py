@@ -198,10 +198,63 @@ def edges(spans: DataFrame, stmts: DataFrame) -> DataFrame:
     goto = stmts.filter("kind = 'GOTO'").select("program", node("paragraph").alias("src"), F.col("target").alias("label")).join(at, ["program", "label"]).select("src", node("label").alias("dst"), F.lit("goto").alias("kind"))
     first = graph.entry_points(nodes).select(F.col("program").alias("callee"), F.col("node").alias("dst"))
     call = stmts.filter("kind = 'CALL' and not dynamic").select(node("paragraph").alias("src"), F.upper("target").alias("callee")).join(first, "callee").select("src", "dst", F.lit("call").alias("kind"))
+    falls = fallthrough(spans, stmts).select(node("src").alias("src"), node("dst").alias("dst"))
+    return perform.unionByName(goto).unionByName(call).unionByName(falls.select("src", "dst", F.lit("fallthrough").alias("kind"))).distinct()
+
+
+def fallthrough(spans: DataFrame, stmts: DataFrame) -> DataFrame:
+    """(program, src, dst): each paragraph and the one after it, unless the last statement outside all others passes control on for good."""
     last = stmts.groupBy("program", F.col("paragraph").alias("label")).agg(F.max_by(F.struct("verb", "depth", "text"), "ord").alias("l"))
     away = (F.col("l.depth") == 0) & (F.col("l.verb").isin("GO", "GOBACK") | F.col("l.text").rlike(r"(?i)^(STOP\s+RUN|EXIT\s+PROGRAM)"))
-    falls = graph.fallthrough(nodes.join(last, ["program", "label"], "left").select("program", "ord", "node", F.coalesce(away, F.lit(False)).alias("transfers")))
-    return perform.unionByName(goto).unionByName(call).unionByName(falls.select("src", "dst", F.lit("fallthrough").alias("kind"))).distinct()
+    nodes = spans.select("program", "ord", F.col("name").alias("node")).join(last.withColumnRenamed("label", "node"), ["program", "node"], "left")
+    return graph.fallthrough(nodes.select("program", "ord", "node", F.coalesce(away, F.lit(False)).alias("transfers")))
+
+
+LINK = r"(?i)\b(LINK|XCTL)\b"
+PROGRAM_LITERAL = r"(?i)\bPROGRAM\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
+PROGRAM_ANY = r"(?i)\bPROGRAM\s*\("
+
+
+def blocks(left: DataFrame) -> DataFrame:
+    """(program, file, kind, line_start, line_end, text) of every masked block; left is what masked() gives."""
+    held = left.filter("span_kind is not null").groupBy(*IN_FILE, "span_kind", "span_start", "span_end").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    return held.select(*IN_FILE, F.col("span_kind").alias("kind"), F.col("span_start").alias("line_start"), F.col("span_end").alias("line_end"), F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text"))
+
+
+def transfers(spans: DataFrame, stmts: DataFrame, masked_blocks: DataFrame | None = None) -> DataFrame:
+    """Every way that control is passed on: program, src, line, kind, dst_program, dst, reason.
+
+    kind is perform (a THRU range gives a row for each paragraph in it), goto, call, link or xctl. A call, link or xctl leads to the
+    first paragraph of its program, or to '' if that program isn't there. What can't be resolved has no dst but a reason. A link or
+    xctl that names no program at all is an error.
+    """
+    at = spans.groupBy("program", F.col("name").alias("label")).agg(F.min("ord").alias("k"))
+    first = spans.groupBy(F.col("program").alias("callee")).agg(F.min_by("name", "ord").alias("first"))
+    none = F.lit(None).cast("string")
+    columns = ["program", "src", "line", "kind", "dst_program", "dst", "reason"]
+    asked = stmts.filter("kind = 'PERFORM_CALL'").select("program", F.col("paragraph").alias("src"), F.col("line_start").alias("line"), F.col("target").alias("label"), F.col("thru").alias("last"))
+    ends = asked.join(at.withColumnRenamed("k", "low"), ["program", "label"], "left").join(at.select("program", F.col("label").alias("last"), F.col("k").alias("high")), ["program", "last"], "left")
+    ends = ends.withColumn("high", F.when(F.col("last").isNull(), F.col("low")).otherwise(F.col("high")))
+    why = F.when(F.col("label").isNull(), "no target").when(F.col("low").isNull() | F.col("high").isNull(), F.when(F.col("last").isNull(), "unknown paragraph").otherwise("unknown endpoint")).when(F.col("low") > F.col("high"), "backwards")
+    ends = ends.withColumn("reason", why)
+    inside = ends.filter("reason is null").join(spans.select("program", "ord", F.col("name").alias("dst")), "program").filter(F.col("ord").between(F.col("low"), F.col("high")))
+    perform = inside.select("program", "src", "line", F.lit("perform").alias("kind"), F.col("program").alias("dst_program"), "dst", "reason")
+    perform = perform.unionByName(ends.filter("reason is not null").select("program", "src", "line", F.lit("perform").alias("kind"), none.alias("dst_program"), none.alias("dst"), "reason"))
+    jumps = stmts.filter("kind = 'GOTO'").select("program", F.col("paragraph").alias("src"), F.col("line_start").alias("line"), F.col("target").alias("label")).join(at, ["program", "label"], "left")
+    known = F.col("k").isNotNull()
+    goto = jumps.select("program", "src", "line", F.lit("goto").alias("kind"), F.when(known, F.col("program")).alias("dst_program"), F.when(known, F.col("label")).alias("dst"), F.when(~known, F.lit("unknown paragraph")).alias("reason"))
+    out = stmts.filter("kind = 'CALL'").select("program", F.col("paragraph").alias("src"), F.col("line_start").alias("line"), F.lit("call").alias("kind"), F.upper("target").alias("callee"), F.when(F.col("dynamic"), F.lit("dynamic")).alias("reason"))
+    if masked_blocks is not None:
+        asks = masked_blocks.filter(F.col("text").rlike(LINK)).select("program", "line_start", "text")
+        near = asks.join(spans.select(F.col("program").alias("p"), F.col("name").alias("src"), F.col("line_start").alias("low"), F.col("line_end").alias("high")), (F.col("program") == F.col("p")) & F.col("line_start").between(F.col("low"), F.col("high")), "left")
+        literal = F.nullif(F.upper(F.regexp_extract("text", PROGRAM_LITERAL, 1)), F.lit(""))
+        kind = F.lower(F.regexp_extract("text", LINK, 1))
+        shapeless = F.raise_error(F.concat(F.lit("no PROGRAM(...) at line "), F.col("line_start").cast("string"), F.lit(" of "), F.col("program"))).cast("string")
+        reason = F.when(F.col("src").isNull(), "outside any paragraph").when(literal.isNull(), F.when(F.col("text").rlike(PROGRAM_ANY), "dynamic").otherwise(shapeless))
+        out = out.unionByName(near.select("program", "src", F.col("line_start").alias("line"), kind.alias("kind"), literal.alias("callee"), reason.alias("reason")))
+    there = F.when(F.col("reason").isNull(), F.col("callee"))
+    out = out.join(first, "callee", "left").select("program", "src", "line", "kind", there.alias("dst_program"), F.when(F.col("reason").isNull(), F.coalesce("first", F.lit(""))).alias("dst"), "reason")
+    return perform.select(columns).unionByName(goto.select(columns)).unionByName(out.select(columns))
 
 
 FIELDS = "program string, ord int, line_no int, level int, name string, parent string, record string, ancestors array<string>, redefines string, has_value boolean"
@@ -235,8 +288,10 @@ def fields(expansion: DataFrame) -> DataFrame:
 
 
 def _names(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(?<![A-Z0-9-])([A-Z0-9-]*[A-Z][A-Z0-9-]*)"), F.lit(1))
-    return F.filter(found, lambda x: ~x.isin(RESERVED))
+    """The names in a text, each with its qualifiers."""
+    word = r"[A-Z0-9-]*[A-Z][A-Z0-9-]*"
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![A-Z0-9-])({word}(?:\s+(?:OF|IN)\s+{word})*)"), F.lit(1))
+    return F.filter(found, lambda x: ~F.substring_index(F.regexp_replace(x, r"\s+", " "), " ", 1).isin(RESERVED))
 
 
 def sites(stmts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import coverage, described, described_sql, slug, tokens, tokens_sql
-from gneiss.operators import evaluate, graph, retrieval
+from gneiss.operators import evaluate, graph, mutate, retrieval
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -79,12 +79,6 @@ def line_islands(spark, d):
     return k.groupBy("doc_id", (F.col("line_no") - F.col("n")).alias("run")).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines")).drop("run")
 
 
-@query("SELECT page_id, length(regexp_replace(html, '<(script|style)>[^<]*(<[^/][^<]*|</p[^<]*)*</(script|style)>', ' ', 'g')) AS n_left, len(regexp_extract_all(html, '<(script|style)>')) AS n_blocks FROM pages")
-def mask_blocks(spark, d):
-    html = F.col("html")
-    return _t(spark, d, "pages").select("page_id", F.length(F.regexp_replace(html, "<(script|style)>[^<]*(<[^/][^<]*|</p[^<]*)*</(script|style)>", " ")).cast("long").alias("n_left"), F.size(F.regexp_extract_all(html, F.lit("<(script|style)>"), F.lit(0))).cast("long").alias("n_blocks"))
-
-
 @query("""WITH e AS (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'click')
 SELECT v.event_id, max(e.event_id) AS inside FROM events v JOIN e ON v.user_id = e.user_id AND v.ts >= e.ts AND (e.until IS NULL OR v.ts < e.until) GROUP BY v.event_id""")
 def point_in_interval(spark, d):
@@ -116,51 +110,59 @@ _BM25 = f"""tok AS (SELECT doc_id, {tokens_sql('text')} AS a FROM documents), po
 len AS (SELECT doc_id, len(a) AS length FROM tok), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 ask AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM post JOIN ask USING (term) JOIN df USING (term) JOIN len USING (doc_id), tot GROUP BY query_id, doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
+every AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(bm.score, 0.0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN bm ON bm.query_id = b.item_id AND bm.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM every)"""
 
 
 def _asked(spark, d):
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25(spark, d):
-    return retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d))
+def _docs(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "text")
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def bm25_topk(spark, d):
-    return retrieval.top(_bm25(spark, d), 5)
+    return retrieval.search("bm25", _asked(spark, d), _docs(spark, d), 5)
 
 
-@query(f"WITH {_BM25}, f AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en') SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5")
+@query(f"WITH {_BM25}, f AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM every JOIN documents USING (doc_id) WHERE lang = 'en') SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5")
 def bm25_filtered(spark, d):
-    english = _t(spark, d, "documents").filter("lang = 'en'").select("doc_id")
-    return retrieval.top(_bm25(spark, d).join(english, "doc_id").select("query_id", "doc_id", "score"), 5)
+    return retrieval.search("bm25", _asked(spark, d), _docs(spark, d), 5, only=_t(spark, d, "documents").filter("lang = 'en'"))
+
 
+_DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM embeddings v, embeddings q WHERE {asked}), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn)"
 
-_DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 20), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn)"
+
+_HUNDREDS = _DENSE.format(asked="q.vec_id % 100 = 0")
+_ITEMS = _DENSE.format(asked="q.vec_id IN (SELECT item_id FROM benchmark)")
 
 
 def _dense(spark, d):
+    """The stated query set of a search: every vector whose id is divisible by 100, against all."""
     e = _t(spark, d, "embeddings")
-    return retrieval.dense(e, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return retrieval.dense(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
-@query(f"WITH {_DENSE} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dr WHERE rank <= 10")
+@query(f"WITH {_HUNDREDS} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dr WHERE rank <= 10")
 def dense_topk(spark, d):
     return retrieval.top(_dense(spark, d), 10)
 
 
-_RRF = f"{_BM25}, {_DENSE}, fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM r WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, rank FROM dr WHERE rank <= 100) GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)"
+_RRF = f"{_BM25}, {_ITEMS}, fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM r UNION ALL SELECT query_id, doc_id, rank FROM dr) GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)"
 
 
-def _fused(spark, d):
-    return retrieval.fuse([retrieval.top(_bm25(spark, d), 100), retrieval.top(_dense(spark, d), 100)])
+def _search(spark, d, mode, k):
+    """Every benchmark item as a query, with the vector of its id."""
+    e = _t(spark, d, "embeddings")
+    asked = _asked(spark, d).join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return retrieval.search(mode, asked, _docs(spark, d), k, vectors=e)
 
 
 @query(f"WITH {_RRF} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
 def rrf_hybrid(spark, d):
-    return retrieval.top(_fused(spark, d), 10)
+    return _search(spark, d, "hybrid", 10)
 
 
 _COVER = "CASE WHEN len(list_distinct({q})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({q}), list_distinct({t}))) / len(list_distinct({q})) END"
@@ -168,24 +170,21 @@ _COVER = "CASE WHEN len(list_distinct({q})) = 0 THEN 0.0 ELSE len(list_intersect
 
 @query(f"WITH {_RRF}, h AS (SELECT fr.query_id, fr.doc_id, round({_COVER.format(q='qt', t='dt')}, 6) AS score FROM fr JOIN (SELECT item_id, {tokens_sql('text')} AS qt FROM benchmark) b ON b.item_id = fr.query_id JOIN (SELECT doc_id, {tokens_sql('text')} AS dt FROM documents) x ON x.doc_id = fr.doc_id WHERE fr.rank <= 20), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 5")
 def rerank_head(spark, d):
-    head = retrieval.top(_fused(spark, d), 20).select("query_id", "doc_id")
-    asked = _asked(spark, d).select("query_id", tokens(F.col("text")).alias("qt"))
-    docs = _t(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("dt"))
-    return retrieval.top(head.join(asked, "query_id").join(docs, "doc_id").select("query_id", "doc_id", F.round(coverage(F.col("qt"), F.col("dt")), 6).alias("score")), 5)
+    return _search(spark, d, "hybrid_rerank", 5)
 
 
 @query(f"WITH {_BM25}, h AS (SELECT query_id, rank, score, nullif(source, 'src0') || '/' || lang AS anchor FROM r JOIN documents USING (doc_id) WHERE rank <= 20), g AS (SELECT query_id, anchor, min(rank) AS first_rank, max(score) AS best_score FROM h WHERE anchor IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank, anchor) AS place FROM g) SELECT query_id, anchor, CAST(first_rank AS INTEGER) AS first_rank, best_score, CAST(place AS INTEGER) AS place FROM o WHERE place <= 5")
 def anchor_dedup(spark, d):
-    keys = _t(spark, d, "documents").select("doc_id", F.concat(F.nullif("source", F.lit("src0")), F.lit("/"), "lang").alias("anchor"))
-    return retrieval.anchored(retrieval.top(_bm25(spark, d), 20).join(keys, "doc_id"), 5)
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.concat(F.nullif("source", F.lit("src0")), F.lit("/"), "lang").alias("anchor"))
+    return retrieval.search_clauses("bm25", _asked(spark, d), docs, 5)
 
 
-@query(f"WITH {_DENSE}, l AS (SELECT vec_id, label FROM embeddings), g AS (SELECT query_id, min(rank) AS rank FROM (SELECT dr.query_id, CASE WHEN a.label = b.label THEN rank - 1 END AS rank FROM dr JOIN l a ON a.vec_id = dr.query_id JOIN l b ON b.vec_id = dr.doc_id WHERE dr.query_id <> dr.doc_id) GROUP BY query_id) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hit_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 9) AS hit_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0.0 END), 9) AS mrr_5 FROM g")
+@query(f"WITH {_HUNDREDS}, l AS (SELECT vec_id, label FROM embeddings), g AS (SELECT query_id, min(rank) AS rank FROM (SELECT query_id, CASE WHEN a.label = b.label THEN k END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM dn WHERE query_id <> doc_id) o JOIN l a ON a.vec_id = o.query_id JOIN l b ON b.vec_id = o.doc_id) GROUP BY query_id) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hit_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 9) AS hit_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0.0 END), 9) AS mrr_5 FROM g")
 def ir_metrics(spark, d):
     labels = _t(spark, d, "embeddings").select("vec_id", "label")
-    r = _dense(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    named = r.filter("query_id <> doc_id").join(labels.toDF("query_id", "a"), "query_id").join(labels.toDF("doc_id", "b"), "doc_id")
-    return retrieval.metrics(named.groupBy("query_id").agg(F.min(F.when(F.col("a") == F.col("b"), F.col("rank") - 1)).alias("rank")))
+    others = _dense(spark, d).filter("query_id <> doc_id")
+    right = others.join(labels.toDF("query_id", "a"), "query_id").join(labels.toDF("doc_id", "b"), "doc_id").filter("a = b")
+    return retrieval.metrics(retrieval.first_right(others, right))
 
 
 @query(f"WITH q AS (SELECT item_id, {tokens_sql('text')} AS qt FROM benchmark), t AS (SELECT doc_id, {tokens_sql('text')} AS dt, length(text) AS n FROM documents), o AS (SELECT item_id, doc_id, round({_COVER.format(q='qt', t='dt')}, 6) AS overlap, n FROM q, t), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, n, doc_id) AS k FROM o WHERE overlap >= 0.8) SELECT item_id, doc_id, overlap FROM p WHERE k = 1")
@@ -216,14 +215,21 @@ def entail_cache_key(spark, d):
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
 _EDGES = f"e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, l_quantity, l_returnflag, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS dst FROM lineitem) WHERE dst IS NOT NULL AND l_quantity > 48 AND l_returnflag = 'R')"
-_SEEDS = "seeds AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 10 = 0)"
+_ALL_EDGES = f"e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS dst FROM lineitem) WHERE dst IS NOT NULL)"
+_SEEDS = "seeds AS (SELECT p_partkey AS node FROM part WHERE p_size <= 5)"
 _REACH = f"{_EDGES}, {_SEEDS}, r(node) AS (SELECT node FROM seeds UNION SELECT dst FROM r JOIN e ON src = node)"
 
 
-def _edges(spark, d) -> DataFrame:
+def _all_edges(spark, d) -> DataFrame:
+    """A part leads to the next one of its order."""
     li = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", *_ORDER.split(", "))
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", ")))
-    return li.select(F.col("l_partkey").alias("src"), nxt.alias("dst"), "l_quantity", "l_returnflag").filter("dst is not null and l_quantity > 48 and l_returnflag = 'R'").select("src", "dst", F.lit("call").alias("kind"))
+    return li.select(F.col("l_partkey").alias("src"), nxt.alias("dst"), F.lit("call").alias("kind"), "l_quantity", "l_returnflag").filter("dst is not null")
+
+
+def _edges(spark, d) -> DataFrame:
+    """The sparse stand-in graph of the queries with a fixpoint; with every edge all parts would be in reach of one another."""
+    return _all_edges(spark, d).filter("l_quantity > 48 and l_returnflag = 'R'").select("src", "dst", "kind")
 
 
 def _nodes(spark, d) -> DataFrame:
@@ -231,22 +237,22 @@ def _nodes(spark, d) -> DataFrame:
 
 
 def _seeds(spark, d) -> DataFrame:
-    return _t(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node"))
+    return _t(spark, d, "part").filter("p_size <= 5").select(F.col("p_partkey").alias("node"))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM e")
+@query(f"WITH {_ALL_EDGES} SELECT src, dst FROM e")
 def call_edges(spark, d):
-    return graph.callees(_edges(spark, d))
+    return graph.callees(_all_edges(spark, d))
 
 
-@query(f"WITH {_EDGES} SELECT dst, count(*) AS n_callers, min(src) AS first_caller, max(src) AS last_caller FROM e GROUP BY dst")
+@query(f"WITH {_ALL_EDGES} SELECT dst, count(*) AS n_callers, min(src) AS first_caller, max(src) AS last_caller FROM e GROUP BY dst")
 def callers(spark, d):
-    return graph.callers(_edges(spark, d))
+    return graph.callers(_all_edges(spark, d))
 
 
-@query(f"WITH {_EDGES} SELECT src, count(*) AS n_callees, min(dst) AS first_callee FROM e GROUP BY src")
+@query(f"WITH {_ALL_EDGES} SELECT src, count(*) AS n_callees, min(dst) AS first_callee FROM e GROUP BY src")
 def callees(spark, d):
-    return graph.callees(_edges(spark, d)).groupBy("src").agg(F.count("*").alias("n_callees"), F.min("dst").alias("first_callee"))
+    return graph.callees(_all_edges(spark, d)).groupBy("src").agg(F.count("*").alias("n_callees"), F.min("dst").alias("first_callee"))
 
 
 @query("WITH c AS (SELECT conv_id AS program, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst, role FROM conversations) SELECT program, src, dst FROM c WHERE dst IS NOT NULL AND role <> 'system'")
@@ -291,9 +297,9 @@ def thru_expand(spark, d):
     return graph.thru(c, c.groupBy("program").agg((F.min("ord") + 1).alias("low"), F.max("ord").alias("high")))
 
 
-@query(f"WITH {_EDGES} SELECT src AS variable, 'use' AS kind, count(*) AS n FROM e GROUP BY src UNION ALL SELECT dst, 'def', count(*) FROM e GROUP BY dst")
+@query(f"WITH {_ALL_EDGES} SELECT src AS variable, 'use' AS kind, count(*) AS n FROM e GROUP BY src UNION ALL SELECT dst, 'def', count(*) FROM e GROUP BY dst")
 def trace_def_use(spark, d):
-    return graph.callees(_edges(spark, d)).select(F.explode(F.array(F.struct(F.col("src").alias("variable"), F.lit("use").alias("kind")), F.struct(F.col("dst").alias("variable"), F.lit("def").alias("kind")))).alias("x")).groupBy("x.variable", "x.kind").agg(F.count("*").alias("n"))
+    return graph.callees(_all_edges(spark, d)).select(F.explode(F.array(F.struct(F.col("src").alias("variable"), F.lit("use").alias("kind")), F.struct(F.col("dst").alias("variable"), F.lit("def").alias("kind")))).alias("x")).groupBy("x.variable", "x.kind").agg(F.count("*").alias("n"))
 
 
 @query("WITH f AS (SELECT n_name AS name, r_name AS owner FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT upper(c_mktsegment), n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), g AS (SELECT name, count(DISTINCT owner) AS owners FROM f GROUP BY name) SELECT name || CASE WHEN owners > 1 THEN '?ambiguous' ELSE '' END AS name, owners FROM g")
@@ -318,13 +324,13 @@ def layout_parent(spark, d):
 
 # evaluation ---------------------------------------------------------------------------------------------------------
 
-_REC = "rec AS (SELECT quality = 0 AS gold, n_chars < 1500 AS predicted, lang = 'es' AS abstained, lang, toxic FROM documents JOIN labels USING (doc_id))"
+_REC = "rec AS (SELECT quality = 0 AS gold, n_chars < 1500 AS predicted, lang = 'es' AS abstained, lang, toxic FROM documents JOIN labels USING (doc_id) WHERE NOT (lang = 'fr' AND n_chars % 7 = 0))"
 _DET = "count(*) FILTER (NOT abstained AND gold AND predicted) AS tp, count(*) FILTER (NOT abstained AND NOT gold AND predicted) AS fp, count(*) FILTER (gold AND (abstained OR NOT predicted)) AS fn, count(*) FILTER (NOT abstained AND NOT gold AND NOT predicted) AS tn, count(*) AS n, count(*) FILTER (NOT abstained) AS answered"
-_RATES = "round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(coalesce(answered / nullif(n, 0), 0), 9) AS answer_rate"
+_RATES = "round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(coalesce(answered / nullif(n, 0), 0), 9) AS answer_rate, round(coalesce((tp + tn) / nullif(answered, 0), 0), 9) AS answered_accuracy"
 
 
 def _records(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, d, "labels"), "doc_id").select((F.col("quality") == 0).alias("gold"), (F.col("n_chars") < 1500).alias("predicted"), (F.col("lang") == "es").alias("abstained"), "lang", "toxic")
+    return _t(spark, d, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, d, "labels"), "doc_id").select((F.col("quality") == 0).alias("gold"), (F.col("n_chars") < 1500).alias("predicted"), (F.col("lang") == "es").alias("abstained"), ((F.col("lang") == "fr") & (F.col("n_chars") % 7 == 0)).alias("infra"), "lang", "toxic")
 
 
 @query(f"WITH {_REC}, c AS (SELECT {_DET} FROM rec) SELECT *, {_RATES} FROM c")
@@ -433,8 +439,8 @@ def drop_policy(spark, d):
 def split_counts_zero_cells(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source", "lang")
     n = docs.join(_t(spark, d, "labels"), "doc_id").groupBy("source", "lang", "quality").agg(F.count("*").alias("n"))
-    langs = docs.groupBy(F.lit(0).alias("z")).agg(F.array_sort(F.collect_set("lang")).alias("langs"))  # one row of a few values
-    cells = docs.select("source").distinct().withColumn("z", F.lit(0)).join(langs, "z").select("source", F.explode("langs").alias("lang")).select("source", "lang", F.explode(F.array(F.lit(0), F.lit(1))).alias("quality"))
+    langs = docs.agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    cells = docs.select("source").distinct().crossJoin(F.broadcast(langs)).select("source", F.explode("langs").alias("lang")).select("source", "lang", F.explode(F.array(F.lit(0), F.lit(1))).alias("quality"))
     return cells.join(n, ["source", "lang", "quality"], "left").select("source", "lang", "quality", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) < 10).alias("fragile"))
 
 
@@ -450,10 +456,9 @@ def resume_antijoin(spark, d):
     return _t(spark, d, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
-@query("SELECT doc_id, 'drift_' || lpad(CAST(CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[1:15] AS BIGINT) % 1000000 AS VARCHAR), 6, '0') AS instance_id FROM documents")
+@query("SELECT doc_id, 'drift_' || lpad(CAST(CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[1:16] AS UBIGINT) % 1000000 AS VARCHAR), 6, '0') AS instance_id FROM documents")
 def instance_id(spark, d):
-    head = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    return _t(spark, d, "documents").select("doc_id", F.concat(F.lit("drift_"), F.lpad((head % 1000000).cast("string"), 6, "0")).alias("instance_id"))
+    return _t(spark, d, "documents").select("doc_id", mutate.instance_id(F.col("doc_id").cast("string")).alias("instance_id"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity < 1 AS bad_quantity, l_discount > 0.08 AND l_tax > 0.06 AS bad_rate, l_shipdate < o_orderdate AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity < 1 OR (l_discount > 0.08 AND l_tax > 0.06) OR l_shipdate < o_orderdate")
