@@ -5,7 +5,7 @@ see text alone; the SQL beside each query never does, but tells from the order w
 
 Program O<orderkey> of an order with n lines, i-th line (by number, part, supplier, ...) with part p, quantity q and flag:
     1-7     divisions, PROGRAM-ID, record TOTALS with TOTAL and LIMIT-V
-    7+i     field F<i> with VALUE q; an R line has a condition name F<i>-ON below it in the same line's place, see _FIELD
+    7+i     field F<i> with VALUE q
     8+n     PROCEDURE DIVISION
     then six lines a paragraph P<i>: header, IF ... ADD ... END-IF, a PERFORM of P<p mod (n+1) + 1> (unknown if n+1), and
     GO TO P<p mod n + 1> (R), CALL of the next order's program (A), or EXEC CICS XCTL to the one after that (N).

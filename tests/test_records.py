@@ -345,3 +345,38 @@ def test_streams(spark, tmp_path):
     q = streaming.budgets(stream(), {"steps": 8, "tool_calls": 8, "tokens": 10, "seconds": 5.0}).writeStream.format("memory").queryName("spent").outputMode("update").option("checkpointLocation", str(tmp_path / "c9")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.run_id: (r.steps, r.tool_calls, r.tokens, r.breach) for r in spark.table("spent").collect()} == {"a": (2, 1, 11, "tokens"), "b": (1, 1, 1, "seconds")}
+
+
+# runs ---------------------------------------------------------------------------------------------------------------
+
+
+def test_runs(spark):
+    from gneiss import __main__ as command
+    from gneiss.operators import runs
+
+    gold = spark.createDataFrame([("a", "D1", "P", "text"), ("b", "D7", "P", "text"), ("c", "D2", "P", "text")], "instance_id string, drift_type string, program string, clause_text string")
+    assert runs.context(gold).columns == ["instance_id", "program", "clause_text"]
+    answers = spark.createDataFrame([("a", "D1", False, None), ("b", "D1", False, "timeout")], "instance_id string, predicted_type string, abstained boolean, failure string")
+    got = {r.instance_id: (r.infra, r.failure, r.predicted_type) for r in runs.outcomes(gold, answers).collect()}
+    assert got == {"a": (False, None, "D1"), "b": (True, "timeout", None), "c": (True, "no answer", None)}
+    hits = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 9, "z")], "instance_id string, rank int, text string")
+    assert {r.instance_id: r.passages for r in runs.retrieval_context(gold, hits).collect()} == {"a": ["x", "y"], "b": [], "c": []}
+    keys = gold.select(runs.run_key(F.col("instance_id"), F.col("drift_type")).alias("run_key"))
+    assert runs.left_to_do(keys, keys.limit(1)).count() == 2
+    assert {r.instance_id: r.drift_type for r in runs.upsert(gold, gold.filter("instance_id = 'a'").withColumn("drift_type", F.lit("D9")), "instance_id").collect()} == {"a": "D9", "b": "D7", "c": "D2"}
+    lines = spark.createDataFrame([("P", i, f"line {i}") for i in range(1, 40)], "program string, line_no int, text string")
+    loci = spark.createDataFrame([("a", 1, "P", 20, 21)], "instance_id string, ord int, program string, line_start int, line_end int")
+    shown = runs.shown(lines, loci)
+    assert len(shown.first().excerpt.split("\n")) == 22 and ">   20  line 20" in shown.first().excerpt
+    assert "line 20" in runs.judge_prompts(gold.withColumn("rationale", F.lit("r")), shown).filter("instance_id = 'a'").first().prompt
+    pairs = spark.createDataFrame([("p", "h"), ("p", "g")], "premise string, hypothesis string")
+    scored = runs.entailment_cache(pairs, lambda p: p.withColumn("score", F.when(F.col("hypothesis") == "h", 0.9).otherwise(0.1)))
+    assert {r.hypothesis: r.holds for r in runs.entailed(pairs, scored).collect()} == {"h": True, "g": False}
+    with pytest.raises(Exception, match="not cached"):
+        runs.entailed(pairs, scored.limit(1)).collect()
+    assert runs.entailed(pairs, scored.limit(1), lambda p: p.withColumn("score", F.lit(1.0))).filter("holds").count() >= 1
+    plan, skipped = runs.seed_plan(spark.createDataFrame([("P", "r1")], "program string, record_id string"), spark.createDataFrame([("r1",), ("r2",)], "record_id string"))
+    assert plan.count() == 1 and [r.record_id for r in skipped.collect()] == ["r2"]
+    leaves = spark.createDataFrame([("30",), ("30.0",), ("true",), ('"x"',)], "value string")
+    assert [r.value for r in runs.regulated(leaves).collect()] == [30.0]
+    assert command.main(["queries"]) == 0 and command.main(["run", "nothing", "x"]) == 2
