@@ -187,8 +187,13 @@ def sets_of(ids: DataFrame, most: int, vertices: DataFrame, docs: DataFrame, kee
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) with inter, the size of the intersection of the full sets."""
-    side = lambda x: sets.select(F.col("vertex").alias(x), F.col("members").alias(f"m_{x}"))
+    """Pairs (a, b, n_a, n_b), a scratch table, with inter, the size of the intersection of the full sets. Only sets that stand on its own side of a pair move."""
+    few = pairs.count() <= BROADCAST_SETS
+
+    def side(x):
+        ids = pairs.select(F.col(x).alias("vertex")).distinct()
+        return sets.join(F.broadcast(ids) if few else ids, "vertex", "left_semi").select(F.col("vertex").alias(x), F.col("members").alias(f"m_{x}"))
+
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("m_a", "m_b")).cast("long").alias("inter"))
 
 
@@ -255,10 +260,11 @@ def _components(vertices: DataFrame, docs: DataFrame, keep, paths: list[str]) ->
 
     # groups of copies that aren't all like their first
     named = keep(_mixed_keys(met.drop("lead"), component), "mixed")
-    held = named.count()
+    ids = keep(named.select("vertex").distinct(), "ids")
+    held = ids.count()
     if not held:
         return component
-    sets = sets_of(named.select("vertex").distinct(), held, vertices, docs, keep)
+    sets = sets_of(ids, held, vertices, docs, keep)
     picked = [F.min_by(F.struct("vertex", "component"), F.xxhash64(F.lit(turn), "vertex")) for turn in range(TURNS)]
     pivot = named.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("p")).select("key", F.explode("p").alias("p"))
     pairs = named.join(pivot, "key").filter("component <> p.component").select(F.least("vertex", "p.vertex").alias("a"), F.greatest("vertex", "p.vertex").alias("b")).distinct()
@@ -297,7 +303,7 @@ def _across(met: DataFrame, compared: DataFrame, vertices: DataFrame, sets: Data
         by_key = by_key.union(keep(_rarest(dense, sets), "rarest").select(columns))
     found = _meeting(by_key, compared)
     untried = found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return confirmed(_within(untried, vertices), sets).filter(_linked()).select("a", "b")
+    return confirmed(keep(_within(untried, vertices), "untried"), sets).filter(_linked()).select("a", "b")
 
 
 def _meeting(met: DataFrame, compared: DataFrame) -> DataFrame:
