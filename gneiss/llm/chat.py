@@ -10,7 +10,8 @@ All windows and the last aggregate share one partitioning by conversation, so th
 one value of the result: its length, as of any string, is what a task must hold.
 
 Nulls, empty and repeated rows: null texts are empty texts, null roles empty roles, null kinds `message`; events
-without a turn belong to the null turn, which sorts first; events without a conversation form the null conversation;
+without a turn belong to the null turn, which sorts first; events without a seq come before all others, so that a regeneration with
+one voids them and one without it voids nothing; events without a conversation form the null conversation;
 exactly repeated events count once, and other events with equal seq apply in the order kind, role, text; a
 conversation whose turns are all void has no row; an empty log gives an empty table; only the named columns are read.
 """

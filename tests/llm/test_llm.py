@@ -335,6 +335,13 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert [(r.turn, r.role, r.text) for r in out] == [(0, "user", "hi there"), (1, "assistant", "Good day"), (2, "user", "bye")]
 
 
+def test_chat_events_without_a_place(spark):
+    rows = [(1, None, 2, "message", "user", "early"), (1, 5, 1, "regenerate", None, None), (1, 6, 1, "delta", "assistant", "new"), (2, None, 1, "regenerate", None, None), (2, 1, 2, "message", "user", "kept"), (2, 1, 2, "message", "user", "kept")]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string").withColumn("__n", F.lit("clash"))
+    assert sorted((r.conv_id, r.turn, r.text) for r in chat.fold(log).collect()) == [(1, 1, "new"), (2, 1, ""), (2, 2, "kept")]
+    assert chat.fold(log.limit(0)).count() == 0 and chat.render(chat.fold(log.limit(0))).count() == 0
+
+
 # op2 ----------------------------------------------------------------------------------------------------------------
 
 
