@@ -263,7 +263,7 @@ FIELDS = "program string, ord int, line_no int, level int, name string, parent s
 def fields(expansion: DataFrame) -> DataFrame:
     """Declared fields with their ancestors, innermost first; 88 levels belong to the field around them and hold none.
 
-    expansion as expanded() gives it. One task folds one program's declarations with a stack of open levels.
+    expansion as expanded() gives it. A program's declarations are gathered in one row and folded with a stack of open levels.
     """
     c = columns(expansion).filter(~F.col("comment"))
     before = Window.partitionBy("program").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -273,18 +273,23 @@ def fields(expansion: DataFrame) -> DataFrame:
     form = r"(?i)^\s*(\d{1,2})\s+([A-Z0-9][A-Z0-9-]*)"
     e = e.filter(F.col("said").rlike(form)).select("program", "entry", "line_no", F.regexp_extract("said", form, 1).cast("int").alias("level"), F.upper(F.rtrim(F.regexp_extract("said", form, 2), F.lit("."))).alias("name"), F.nullif(F.upper(F.regexp_extract("said", r"(?i)\bREDEFINES\s+([A-Z0-9-]+)", 1)), F.lit("")).alias("redefines"), F.col("said").rlike(r"(?i)\bVALUES?\b").alias("has_value"))
 
-    def nest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, open_, out = rows.sort_values("entry"), [], []
-        for k, r in enumerate(rows.itertuples(index=False), 1):
-            while r.level != 88 and open_ and open_[-1][0] >= r.level:
-                open_.pop()
-            up = [n for _, n in reversed(open_)]
-            out.append((r.program, k, r.line_no, r.level, r.name, up[0] if up else None, up[-1] if up else r.name, up, r.redefines, r.has_value))
-            if r.level != 88:
-                open_.append((r.level, r.name))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIELDS.split(", ")])
-
-    return e.groupBy("program").applyInPandas(nest, FIELDS)
+    entries = e.groupBy("program").agg(F.array_sort(F.collect_list(F.struct("entry", "line_no", "level", "name", "redefines", "has_value"))).alias("es"))
+
+    def nest(frames):
+        for frame in frames:
+            out = []
+            for program, es in zip(frame["program"], frame["es"], strict=True):
+                open_: list = []
+                for k, r in enumerate(es, 1):
+                    while r["level"] != 88 and open_ and open_[-1][0] >= r["level"]:
+                        open_.pop()
+                    up = [n for _, n in reversed(open_)]
+                    out.append((program, k, r["line_no"], r["level"], r["name"], up[0] if up else None, up[-1] if up else r["name"], up, r["redefines"], r["has_value"]))
+                    if r["level"] != 88:
+                        open_.append((r["level"], r["name"]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FIELDS.split(", ")])
+
+    return entries.mapInPandas(nest, FIELDS)
 
 
 def _names(text: Column) -> Column:
