@@ -237,3 +237,30 @@ def test_the_executor(spark):
     assert not executor.executed(rows, None).first().available
     got = executor.executed(rows, lambda text, inputs: executor.displayed_result(text) | {"files": {}}).first()
     assert got.available and got.compiled and got.stdout == "X\n"
+
+
+def test_catalogue(spark, corpus):
+    asked = asks(spark, {"op": "MO-5", "variables": ["AMT"]}, {"op": "MO-5#2", "variables": ["AMT"]}, {"op": "MO-1", "variables": ["LIMIT-V"], "value": 45.0, "kind": "duration_days"}, {"op": "MO-2", "program": "OTHER"}, {"op": "MO-4", "variables": ["IS-LATE"]})
+    targets = spark.createDataFrame([("D5_boundary_error", 5), ("D1_stale_threshold", 1), ("D4_stale_reference_data", 0)], "drift_type string, target int")
+    made, out = mutate.catalogue(corpus.lines, asked, targets)
+    rows = made.collect()
+    assert sorted(r.drift_type for r in rows) == ["D1_stale_threshold", "D5_boundary_error", "D5_boundary_error"] or sorted(r.drift_type for r in rows) == ["D1_stale_threshold", "D5_boundary_error"]
+    assert all(r.instance_id.startswith("drift_") for r in rows) and any(r.note == "MO-1; old='45'; new='60'" for r in rows)
+    assert {(r.program, r.reason) for r in out.collect()} >= {("OTHER", "no edit"), ("ACCT", "over target")}
+
+
+def test_copybook_edits_and_surface_changes(spark, corpus):
+    edits = spark.createDataFrame([("BOOK", "MO-1x", 3, 1, "a", "b")], "program string, op string, line_no int, start int, old string, new string")
+    copies = spark.createDataFrame([("P", "book"), ("Q", "BOOK"), ("R", "ELSE")], "program string, name string")
+    assert {(r.program, r.is_interprocedural) for r in mutate.through_copybooks(edits, copies).collect()} == {("P", True), ("Q", True)}
+    made = mutate.perturbed(corpus.lines, 3).filter("program = 'OTHER'").orderBy("line_no").collect()
+    assert made[4].text == "           DISPLAY 'HI '." and len(made) == 5
+    text = "\n".join(["       PROGRAM-ID. S.", "       PROCEDURE DIVISION.", "       P0.", "           PERFORM P1.", "           PERFORM P2.", "           GOBACK.", "       P1.", "           GO TO P0.", "       P2.", "           DISPLAY 'X'.", "           GOBACK."])
+    lines = files.program_lines(spark.createDataFrame([("S", "s", text)], "program string, file string, text string"))
+    spans, stmts = program.paragraphs(lines), program.statements(lines)
+    seen = set()
+    for seed in range(8):
+        new = mutate.reordered(lines, spans, program.transfers(spans, stmts), program.fallthrough(spans, stmts), seed).orderBy("line_no").collect()
+        assert [r.line_no for r in new] == list(range(1, 12))
+        seen.add(new[6].text.strip())
+    assert seen == {"P1.", "P2."}
