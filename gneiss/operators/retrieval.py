@@ -77,7 +77,7 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 def filled(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """top(), filled up to k with documents that match nothing, by id, at score 0. A query that misses some needs none but the first 2k ids to fill them."""
-    best = top(scores, k)
+    best = stored(top(scores, k), "best")
     n = best.groupBy("query_id").agg(F.count("*").alias("n"))
     short = queries.select("query_id").distinct().join(n, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
     first = docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k)
@@ -136,8 +136,8 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: Da
     k best of one ranking at least 1 / (FUSED + k) each. The ranks of those in the other ranking are counted.
     """
     deep = FUSED + 2 * k
-    a, b = stored(filled(lexical, docs, queries, deep), "lexical"), stored(top(semantic, deep), "semantic")
     lexical, semantic = stored(lexical, "lexical"), stored(semantic, "semantic")
+    a, b = stored(filled(lexical, docs, queries, deep), "deep"), stored(top(semantic, deep), "deep")
     pair = ["query_id", "doc_id"]
     not_a = b.select(pair).join(a.select(pair), pair, "left_anti")
     # of documents only: a vector may belong to none
