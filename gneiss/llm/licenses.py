@@ -166,7 +166,7 @@ KNOWN = (
 DIGESTS = (
     ("Apache-2.0", "apache license version 2 0 january 2004 www apache org licenses terms", 1599, "8aa7a68b529e722ec595b75840c4dae5"),
     ("Apache-2.0", "apache license version 2 0 january 2004 www apache org licenses terms", 1429, "e24e8d30c8c1664b45d3db5af77feef6"),
-    ("CC0-1.0", "creative commons legal code cc0 1 0 universal creative commons corporation is", 1088, "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("CC0-1.0", "creative commons legal code cc0 1 0 universal creative commons corporation is", 1087, "d2a76f70ce19809695b7fb93c6241c23"),
     ("GFDL-1.2", "gnu free documentation license version 1 2 november 2002 51 franklin st", 3314, "74828eb3d31c08c255ba36dd3703facb"),
     ("GFDL-1.3", "gnu free documentation license version 1 3 3 november 2008 fsf org", 3730, "11d096827dde1bd44fb3534292b98c8c"),
     ("GPL-1.0", "gnu general public license version 1 february 1989 51 franklin st fifth", 2067, "738cc3b112640d95d4cd79a58967ecea"),
