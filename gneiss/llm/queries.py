@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, chat, decontaminate, langid, licenses, linededup, neardup, quality, secrets, warc
+from gneiss.llm import bpe, chat, decontaminate, langid, licenses, linededup, merkle, neardup, oracles, quality, runs, secrets, sharding, warc
 from gneiss.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_chat_formatting, op2_warc, op3_minhash_near_dedup, op4_quality_rules, op5_line_dedup, op6_decontamination, op7_byte_bpe, op8_secret_scan, op9_license_scan, op10_language_id]
+    own = [op1_chat_formatting, op2_warc, op3_minhash_near_dedup, op4_quality_rules, op5_line_dedup, op6_decontamination, op7_byte_bpe, op8_secret_scan, op9_license_scan, op10_language_id, op11_merkle_manifest, op12_periodic_runs, op13_sharding]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -253,4 +265,4 @@ FROM documents LEFT JOIN whole ON whole.doc_id = documents.doc_id LEFT JOIN held
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op2_warc": _OP2, "op3_minhash_near_dedup": _OP3, "op5_line_dedup": _OP5, "op6_decontamination": _op6(), "op9_license_scan": _op9()}
+    return {"op1_chat_formatting": _OP1, "op2_warc": _OP2, "op3_minhash_near_dedup": _OP3, "op5_line_dedup": _OP5, "op6_decontamination": _op6(), "op9_license_scan": _op9(), "op11_merkle_manifest": oracles.op11(), "op12_periodic_runs": oracles.op12(), "op13_sharding": oracles.op13()}
