@@ -5,7 +5,7 @@ same template. Windows of WINDOW canonical words of every whole document are has
 and a match is compared word by word, so a chance equality of hashes counts for nothing. An item is looked up by kinds:
 
 * NAMED: numbers, units and names (any word of a capital and a small letter) are placeholders;
-* COUNTED: numbers and units are. A language that capitalises its nouns, and a text in other case, lose no word here;
+* COUNTED: numbers and units, in any case, are. A language that capitalises its nouns, and a text in other case, lose no word here;
 * VERBATIM: none are. It serves the items that the other two can't: those of fewer than SHORTEST words, and those of
   which too few windows count.
 
@@ -18,7 +18,8 @@ likeness doesn't. Where a value stands for several, only the windows that hold i
 ones. An item is found if the windows left hold at least SHARE per cent of those of a kind that count; by VERBATIM, if
 all its windows stand in a row.
 
-Case counts only for what is a name. Number words are words, so an item asked again in words is found only where enough
+Case counts only for what is a name: a copy of an item in capitals, small letters or title case has the item's COUNTED
+template, units included, and where that serves no item, its VERBATIM one. Number words are words, so an item asked again in words is found only where enough
 other windows remain.
 
 Benchmarks are small and documents are not: the benchmark's windows are counted and broadcast within a bound, beyond
@@ -65,9 +66,12 @@ UNITS = (
 NUMBERS = (
     (r"([0-9])[.,]([0-9])", f"$1{POINT}$2"),
     (r"([0-9])[.,]([0-9])", f"$1{POINT}$2"),
-    (rf"([0-9]) ?(%|{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})([^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 $3"),
+    (rf"([0-9]) ?(%|(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))([^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 $3"),
     (rf"([0-9]+(?:{POINT}[0-9]+)*)", f" {NUMBER}$1 "),
 )
+#: Letters whose capital form is other letters, so that a copy in capitals is the same words.
+FOLDED = (("ß", "ss"), ("ẞ", "SS"))
+
 #: Single characters where they can be, which Java matches by a bit set.
 SPLIT = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "%") + "\\xA1\\xAB\\xBB\\xBF\\x{2010}-\\x{2027}\\x{3000}-\\x{3002}]+"
 CAPITAL = r"^\p{Lu}\p{Ll}"
@@ -75,7 +79,7 @@ CAPITAL = r"^\p{Lu}\p{Ll}"
 
 def marked_words(text: str = "text") -> Column:
     """The words of a text in order; numbers and units after their mark. The first and the last may be empty."""
-    own = reduce(lambda t, m: F.replace(t, F.lit(m), F.lit("")), MARKS, F.col(text))
+    own = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), [*((m, "") for m in MARKS), *FOLDED], F.col(text))
     spaced = F.concat(F.lit(" "), own, F.lit(" "))
     numbered = F.when(own.rlike("[0-9]"), reduce(lambda t, r: F.regexp_replace(t, *r), NUMBERS, spaced)).otherwise(own)
     return F.split(numbered, SPLIT, -1)

@@ -176,6 +176,8 @@ def _rewritten(column: str, rewrites) -> str:
 def _op6() -> str:
     d = decontaminate
     own = f"translate(text, '{d.MARKS}', '')"
+    for letter, to in d.FOLDED:
+        own = f"replace({own}, '{letter}', '{to}')"
     numbered = _rewritten(f"' ' || {own} || ' '", d.NUMBERS)
     marked = lambda w: f"({w} >= '{d.NUMBER}' AND {w} < '{d.NAME}')"
     capital = lambda w: f"regexp_matches({w}, '{d.CAPITAL}')"
