@@ -1,13 +1,19 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
-The base patterns find assignments, access keys and long hexadecimal runs. Besides, every whole run of 16 or more
-key-like characters near or around a sensitive word is a candidate. A compressor is primed with a dictionary of the pieces that
-words and identifiers are made of (those of a public tokenizer's vocabulary, whose rank file is a parameter, and WORDS in the forms that code has them) and packs the text around the candidate with and without it, in lower
-case. A candidate that costs nearly as many bytes as random characters of its alphabet would is reported as `novel`. Words and
-identifiers cost about two thirds of that, however they are joined; secrets can't be compressed. A run that holds the sensitive
-word itself, as in `auth=KEY` or `secret_access_key/KEY`, is scored without the name.
-
-Each text is scanned by itself and whole, so nothing is shuffled and no key can be hot; memory is that of one batch and of the
+The base patterns find assignments, access keys and long hexadecimal runs. Besides, every whole run of LEAST or more key-like
+characters near or around a sensitive word is a candidate, and near one every run with the signs that passwords have. A compressor is primed with a dictionary of the pieces that
+words and identifiers are made of (those of a public tokenizer's vocabulary, whose rank file is a parameter, and WORDS in the forms that code has them); it packs the text before the candidate, and the words that the text
+has elsewhere and the candidate too, with and without the candidate, in lower case. A candidate that costs nearly as many bytes as random characters of its alphabet would can be a secret: words and
+identifiers cost about two thirds of that, however they are joined. A run that holds the sensitive word itself, as in `auth=KEY` or
+`secret_access_key/KEY`, is scored without the name.
+
+Words that no dictionary has cost much as well, so a candidate is reported as `novel` only if two exact checks don't tell it to be a name: it hasn't the shape of one
+(parts of letters in one case or camel case, dates, numbers: see shaped), and its letters don't follow each other as those of the vocabulary's pieces do (see surprise).
+
+Not candidates, so not found unless by a base pattern: runs of fewer than LEAST characters, digits alone, words joined by
+separators (pass phrases), and runs with signs at a distance from any sensitive word. Random strings are missed where they happen to look like names.
+
+Each text is scanned by itself and whole, in steps that grow with its length alone: runs, words and base spans are walked once, in order. Nothing is shuffled and no key can be hot; memory is that of one batch and of the
 dictionary, of some 0.2 MB with a vocabulary of 50,000.
 
 Nulls, empty and repeated rows: a null text has no spans; rows are independent, so repeated rows and ties between rows
@@ -20,8 +26,11 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import math
 import random
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,25 +44,36 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|secret|token|api.?key|auth|bearer|credential|private|signature|access.?key|jwt|client.?id|conn.?str|pwd", re.ASCII | re.IGNORECASE)
-LEAST = 16
+LEAST = 12
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
+#: A run that passwords may be, and its signs; a plain run lies within one.
+SIGNS = "!@#$%^&*"
+SIGNED = re.compile(rf"(?<![A-Za-z0-9+/_=!@#$%^&*-])[A-Za-z0-9+/_=!@#$%^&*-]{{{LEAST},}}", re.ASCII)
 #: The rest of a name behind its sensitive word, and a further part of it, each with its separator; pieces of
 #: identifiers, and the characters that they have on average; what may stand before the word.
 REST = re.compile(r"[A-Za-z0-9]*(([+/_=-])\2*)", re.ASCII)
 PART = re.compile(r"([A-Z]?[a-z]{1,15}|[A-Z]{1,15}|[vV]?[0-9]{1,3})(([+/_=-])\3*)", re.ASCII)
 PIECE, LONGEST = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), 4
 HEAD = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+|[vV]?[0-9]{1,4})[+/_=-]+)*[A-Za-z]*", re.ASCII)
+#: What a name is made of: parts between separators, of pieces of letters; digits end a part.
+SEPARATORS = re.compile(r"[^A-Za-z0-9]+", re.ASCII)
+NAMED_PART = re.compile(r"(?:[vV][0-9]{1,2}(?=[A-Z]|$)|[A-Z]?[a-z]++|[A-Z]+(?=[A-Z][a-z]|[0-9]|$))++[0-9]{0,4}|[0-9]{1,4}|[A-Za-z0-9]{1,3}", re.ASCII)
+TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-]?[0-9-]*[Zz]?", re.ASCII)
 #: Characters before a candidate in which a sensitive word counts, and that it is compressed against.
 NEAR, CONTEXT = 48, 256
 #: Least share of the bytes that as many random characters of the candidate's alphabet would take. Set between made-up
 #: identifiers and random keys of 16 to 64 characters; tests/llm holds it to other such ones, and to longer ones.
 NOVEL = 0.74
+#: Least mean bits of a candidate's letters, as _letters() has them, where it has other characters and where it has none; letters of a name's piece on average.
+STRANGE, SHORT = (5.0, 5.8), 2.5
+#: A word of the text itself.
+OWN = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}", re.ASCII)
 #: Code that is packed before every context, since the compressor leaves a block alone that has too little to gain.
 PAD = b"config value = get_value(self.value); password = os.environ[name] if name else none; return self.config.value\n" * 2
 #: Letters that a piece of the vocabulary has at least to be in the dictionary; the compressor's level.
 LETTERS, LEVEL = 4, 12
 
-_HEX, _BASE36 = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
+_DIGITS, _HEX, _LETTERS, _BASE36 = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyz"
 
 #: What identifiers and code around secrets are made of.
 WORDS = (
@@ -92,21 +112,25 @@ def _packer(ranks_path: str):
 
 
 @functools.cache
-def _random_bytes(ranks_path: str, length: int, digits: str) -> float:
-    """What so many random characters of an alphabet take, on average of three."""
-    pack, rnd = _packer(ranks_path).compress, random.Random(length)
-    made = ["".join(rnd.choices(digits, k=length)).encode() for _ in range(3)]
-    return sum(len(pack(PAD + m)) - len(pack(PAD)) for m in made) / 3
+def _random(length: int, digits: str) -> list[bytes]:
+    rnd = random.Random(length)
+    return ["".join(rnd.choices(digits, k=length)).encode() for _ in range(3)]
 
 
-def novelty(text: str, start: int, end: int, ranks_path: str) -> float:
-    """The marginal compressed bytes of text[start:end] after its context, as a share of what random characters take."""
-    before = PAD + text[max(0, start - CONTEXT) : start].lower().encode()
+def novelty(text: str, start: int, end: int, known: set[str], ranks_path: str) -> float:
+    """The marginal compressed bytes of text[start:end] after its context, as a share of what random characters take there, on average of three draws.
+
+    The context is the text before it and those of the text's own words (known) that are in it, which only a compressor with so wide a window would find.
+    """
     own = text[start:end].lower()
+    again = {own[i : i + n] for i in range(len(own)) for n in range(4, 16)} & known if known else ()
+    before = PAD + " ".join(sorted(again)).encode() + text[max(0, start - CONTEXT) : start].lower().encode()
     pack = _packer(ranks_path).compress
+    digits = next((d for d in (_DIGITS, _HEX, _LETTERS) if set(own) <= set(d)), _BASE36)
     size = len(own) if len(own) < 512 else len(own) // 64 * 64  # few values to keep
-    each = _random_bytes(ranks_path, size, _HEX if set(own) <= set(_HEX) else _BASE36) / size
-    return (len(pack(before + own.encode())) - len(pack(before))) / (len(own) * each)
+    least = len(pack(before))
+    like = sum(len(pack(before + r)) - least for r in _random(size, digits)) / (3 * size)
+    return (len(pack(before + own.encode())) - least) / (len(own) * like)
 
 
 def starts(text: str, start: int, end: int, word: tuple[int, int] | None, near: bool) -> list[int]:
@@ -126,6 +150,56 @@ def starts(text: str, start: int, end: int, word: tuple[int, int] | None, near:
     return list(dict.fromkeys([*out, *(x for x in (last[0], max(last)) if x)]))
 
 
+def shaped(own: str) -> bool:
+    """Whether own has the shape of a name, path, date or number: parts of letters in one case or camel case, each with digits at its end at most."""
+    parts = [p for p in SEPARATORS.split(own) if p]
+    if TIME.fullmatch(own) or not any(c.isalpha() for c in own):
+        return True  # a number of 16 digits or more is a base span
+    if not all(NAMED_PART.fullmatch(p) for p in parts):
+        return False
+    pieces = [x for p in parts for x in PIECE.findall(p) if x[0].isalpha()]
+    return len(parts) + len(pieces) > 2 and sum(map(len, pieces)) >= SHORT * len(pieces)
+
+
+@functools.cache
+def _letters(ranks_path: str):
+    """Bits that a letter takes after the two before it, among the vocabulary's pieces; 0 stands for what is no letter."""
+    import numpy as np
+
+    counts = np.full((27, 27, 27), 0.02)
+    for piece in pieces(ranks_path):
+        codes = [0, 0, *(c - 96 for c in piece)]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            counts[a, b, c] += 1
+    two = counts.sum(axis=0) + 0.5  # the letter before alone, where both together are rare
+    prior = two / two.sum(axis=1, keepdims=True)
+    share = (counts + 3 * prior) / (counts.sum(axis=2, keepdims=True) + 3)
+    return (-np.log2(share)).tolist()
+
+
+def surprise(own: str, ranks_path: str) -> float:
+    """Mean bits of a letter of own, in lower case; what random letters have is well above that of words in any tongue written in them."""
+    bits, a, b, total, n = _letters(ranks_path), 0, 0, 0.0, 0
+    for c in own.lower().encode():
+        c = c - 96 if 97 <= c <= 122 else 0
+        if c:
+            total, n = total + bits[a][b][c], n + 1
+        a, b = b, c
+        if not c:
+            a = b = 0
+    return total / n if n else math.inf
+
+
+def _own_words(text: str, but: list[tuple[int, int]]) -> set[str]:
+    """Pieces of 4 to 15 letters in the text, in lower case, outside the spans."""
+    out, at = set(), 0
+    for a, b in [*but, (len(text), len(text))]:
+        if at < a:
+            out.update(w.lower() for w in OWN.findall(text, at, a))
+        at = max(at, b)
+    return {w for w in out if len(w) <= 15}
+
+
 def spans(text: str | None, ranks_path: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) in code points, ordered."""
     if not text:
@@ -136,26 +210,57 @@ def spans(text: str | None, ranks_path: str) -> list[tuple[int, int, int]]:
     if any(w in low for w in ("passw", "secret", "token", "api")):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base = sorted(found)
-    found = []
     words = [m.span() for m in SENSITIVE.finditer(text)]
-    after = 0  # the first word that ends behind the start of the run
-    for c in RUN.finditer(text) if words else ():
-        start, end = c.span()
-        while after < len(words) and words[after][1] <= start:
-            after += 1
-        near = after > 0 and start <= words[after - 1][1] + NEAR
-        word = words[after] if after < len(words) and words[after][1] <= end else None
-        if not near and not word:
-            continue
-        for at in starts(text, start, end, word, near):
-            own = text[at:end]
-            if len(own) < LEAST or any(a < end and at < b for a, _, b in base):
-                continue
-            mixed = sum(bool(re.search(p, own)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-            if mixed >= 2 and novelty(text, at, end, ranks_path) >= NOVEL:
-                found.append((at, 3, end))
-                break
-    return sorted(base + found)
+    if not words:
+        return base
+    return sorted(base + _novel(text, base, words, ranks_path))
+
+
+def _novel(text: str, base: list[tuple[int, int, int]], words: list[tuple[int, int]], ranks_path: str) -> list[tuple[int, int, int]]:
+    """The spans that the method adds: one walk over the runs, with each run's candidates in order."""
+    begins, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    ends = [b for _, b in words]
+
+    def taken(at: int, end: int) -> bool:
+        before = bisect_left(begins, end)
+        return before > 0 and reach[before - 1] > at
+
+    asked: list[list[tuple[int, int]]] = []
+    for c in SIGNED.finditer(text):
+        candidates = []
+        run = text[c.start() : c.end()]
+        core = run.strip(SIGNS)
+        core = run if len(core) < LEAST else core
+        at = c.start() + run.index(core)
+        if any(x in SIGNS for x in core) and not any(x in "=/" for x in core):
+            i = bisect_right(ends, at)
+            if i and at <= ends[i - 1] + NEAR:
+                candidates.append((at, at + len(core)))
+        for m in RUN.finditer(text, c.start(), c.end()):
+            start, end = m.span()
+            i = bisect_right(ends, start)
+            near = i > 0 and start <= ends[i - 1] + NEAR
+            word = words[i] if i < len(words) and words[i][1] <= end else None
+            if near or word:
+                candidates += [(x, end) for x in starts(text, start, end, word, near)]
+        candidates = [(a, b) for a, b in candidates if b - a >= LEAST and not taken(a, b) and not shaped(text[a:b])]
+        if candidates:
+            asked.append(candidates)
+    if not asked:
+        return []
+    known = _own_words(text, [(min(a for a, _ in x), max(b for _, b in x)) for x in asked])
+    out: list[tuple[int, int, int]] = []
+    for candidates in asked:
+        for a, b in candidates:
+            if (not out or out[-1][2] <= a) and is_novel(text, a, b, known, ranks_path):
+                out.append((a, 3, b))
+    return out
+
+
+def is_novel(text: str, a: int, b: int, known: set[str], ranks_path: str) -> bool:
+    own = text[a:b]
+    least = 0.0 if set(own.lower()) <= set(_HEX + "-") else STRANGE[own.isalpha()]
+    return novelty(text, a, b, known, ranks_path) >= NOVEL and surprise(own, ranks_path) >= least
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:
