@@ -4,9 +4,10 @@ A language's profile is the list of its most frequent 1- to 3-grams, in order of
 every profile by out-of-place distance: the sum, over the text's own most frequent n-grams, of how far apart the two
 ranks are, with the profile's length as the penalty for an n-gram that the profile lacks. The nearest profile wins.
 
-Profiles are fitted on at most about FIT_ROWS labelled rows a language, drawn by a hash of the id (a documented
-bound); counts are summed in Spark and only FIT_LANGS x PROFILE ranked n-grams reach the driver. Prediction covers
-every whole text, without a shuffle, so no key can be hot.
+Profiles are fitted on the different texts among at most about FIT_ROWS labelled rows a language, drawn by a hash of id and text (a documented
+bound); counts are summed in Spark and only PROFILE ranked n-grams a language reach the driver. Every language with a labelled row
+is learned, as a table of (n-gram, language, rank) of 16 bytes a row; beyond MOST_LANGS, which would take
+half a GB, an error is raised, and nothing is left out in silence. Prediction covers every whole text, without a shuffle, so no key can be hot.
 
 Nulls, empty and repeated rows: a null text, or one without a letter, is `und` with score 0; a null language is never
 learned from; a null id hashes as the empty string; rows are independent, so repeats and ties between rows have no
@@ -27,14 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import values
+from gneiss.llm.common import scratch, values
 
 #: n-grams in a profile.
 PROFILE = 400
 #: Labelled rows that are learned from, a language, in expectation.
 FIT_ROWS = 2_000
-#: Languages that are learned: those with the most labelled rows.
-FIT_LANGS = 1_000
+#: Languages beyond which learning is refused.
+MOST_LANGS = 100_000
 #: Characters that are counted at a time.
 BLOCK = 1 << 20
 
@@ -88,11 +89,13 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """langs, the sorted codes of all profiles, and the rank of each code in each profile (size: absent)."""
+    """langs, the sorted codes of all profiles, and from first[i] to first[i + 1] the languages that have code i, with its rank there."""
 
     langs: tuple[str, ...]
     codes: np.ndarray
-    ranks: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
     size: int
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -101,20 +104,25 @@ class Model:
             return UNDETERMINED, 0.0
         own = ranked(codes, counts, self.size)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-        there = self.ranks[:, at]
-        far = np.where(self.codes[at] == own, np.where(there < self.size, np.abs(there - np.arange(len(own))), self.size), self.size).sum(axis=1)
+        there = np.flatnonzero(self.codes[at] == own)
+        begin, n = self.first[at[there]], self.first[at[there] + 1] - self.first[at[there]]
+        # the places of all (language, rank) of the n-grams that any profile has, and the n-gram of each
+        gram = np.repeat(there, n)
+        place = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+        nearer = self.size - np.abs(self.rank[place] - gram)
+        far = self.size * len(own) - np.bincount(self.lang[place], nearer, len(self.langs))
         best = int(np.argmin(far))
         return self.langs[best], float(1 - far[best] / (self.size * len(own)))
 
 
 def model_of(profiles: dict[str, list[int]], size: int = PROFILE) -> Model:
     langs = tuple(sorted(profiles))
-    codes = np.unique(np.array([c for p in profiles.values() for c in p], np.uint64))
-    ranks = np.full((len(langs), len(codes)), size, np.int64)
-    for i, lang in enumerate(langs):
-        own = np.array(profiles[lang], np.uint64)
-        ranks[i, np.searchsorted(codes, own)] = np.arange(len(own))
-    return Model(langs, codes, ranks, size)
+    code = np.array([c for x in langs for c in profiles[x]], np.uint64)
+    lang = np.array([i for i, x in enumerate(langs) for _ in profiles[x]], np.int32)
+    rank = np.array([i for x in langs for i in range(len(profiles[x]))], np.int32)
+    order = np.argsort(code, kind="stable")
+    codes, first = np.unique(code[order], return_index=True)
+    return Model(langs, codes, np.append(first, len(code)), lang[order], rank[order], size)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -124,12 +132,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) -> Model:
     """Learn profiles from text and lang of the rows of docs that aren't held out."""
     labelled = docs.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
-    if not found:
+    counts = scratch(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    n = counts.count()
+    if n > MOST_LANGS:
+        raise ValueError(f"{n} languages; lang has to be a language's name")
+    if not n:
         return model_of({}, size)
-    share = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))))
-    draw = F.pmod(F.xxhash64(F.lit("profile"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
+    draw = F.pmod(F.xxhash64(F.lit("profile"), F.col("doc_id").cast("string"), F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(counts), "lang").filter(F.col("draw") * F.col("rows") < rows)
+    drawn = drawn.groupBy("lang", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         total: dict[str, list] = {}

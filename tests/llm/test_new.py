@@ -250,3 +250,38 @@ def test_written_shards(spark, tmp_path):
         sharding.write_shards(docs.union(docs.limit(1)), f"{tmp_path}/t", 4)
     with pytest.raises(ValueError, match="in the way"):
         sharding.write_shards(docs.withColumn("slot", F.lit(1)), f"{tmp_path}/t", 4)
+
+
+# op10 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """1,100 languages of one word each, one of them a single row repeated ten thousand times."""
+    rnd = random.Random(8)
+    word = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1100)]
+    free = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(free[k], f"{w} {w}", f"l{k:04}") for k, w in enumerate(word)] + [(free[5], f"{word[5]} {word[5]}", "l0005")] * 10_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from gneiss.llm import langid
+
+    model = langid.fit(docs)
+    assert model.langs == tuple(f"l{k:04}" for k in range(1100))
+    assert all(model.predict(f"{w} {w}")[0] == f"l{k:04}" for k, w in enumerate(word))
+    monkeypatch.setattr(langid, "MOST_LANGS", 1000)
+    with pytest.raises(ValueError, match="1100 languages"):
+        langid.fit(docs)
+
+
+def test_distances_by_plain_ranks():
+    from gneiss.llm import langid
+
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choices("abcdeé", k=rnd.randint(1, 6))) for _ in range(rnd.randint(1, 200))) for _ in range(40)]
+    profiles = {f"p{k}": langid.ranked(*langid.ngrams(t), 50).tolist() for k, t in enumerate(texts[:12])}
+    model = langid.model_of(profiles, 50)
+    for t in texts:
+        own = langid.ranked(*langid.ngrams(t), 50).tolist()
+        far = {p: sum(abs(i - own_rank) if (i := {c: k for k, c in enumerate(codes)}.get(c)) is not None else 50 for own_rank, c in enumerate(own)) for p, codes in profiles.items()}
+        best = min(sorted(far), key=lambda p: (far[p], p))
+        lang, score = model.predict(t)
+        assert far[lang] == far[best] and abs(score - (1 - far[best] / (50 * len(own)))) < 1e-12
