@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators import graph
+from gneiss.operators import graph, parse
 
 # The columns of a line and what masking leaves.
 INDICATOR, BODY, BODY_LENGTH = 7, 8, 65
@@ -20,7 +20,6 @@ COPY_REPLACING = r"(?i)\bCOPY\b.*\bREPLACING\b"
 HEADER = r"(?i)^([A-Z0-9][A-Z0-9-]*)\s*\.\s*$"
 NO_LABELS = ["END", "EXIT", "GOBACK", "STOP", "CONTINUE"]
 PREAMBLE = "<preamble>"
-VERBS = "ACCEPT ADD CALL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE ELSE EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MOVE MULTIPLY OPEN PERFORM READ REWRITE SEARCH SET START STOP STRING SUBTRACT UNSTRING WHEN WRITE".split()
 RESERVED = "ACCEPT ADD ALL ALPHABETIC ALSO AND ARE AT BY CALL COMPUTE CORRESPONDING DATE DAY DELIMITED DELIMITER DEPENDING DISPLAY DIVIDE DOWN ELSE END EQUAL ERROR EVALUATE FALSE FROM FUNCTION GIVING GREATER HIGH-VALUES IF IN INITIALIZE INTO INVALID IS KEY LESS LOW-VALUES MOVE MULTIPLY NEXT NO NOT NUMERIC OF ON OR OTHER PERFORM POINTER READ RECORD REMAINDER ROUNDED SENTENCE SET SIZE SPACE SPACES STRING SUBTRACT THAN THEN THROUGH THRU TIME TIMES TO TRUE UNSTRING UNTIL UP UPON USING VARYING WHEN WITH WRITE ZERO ZEROES ZEROS".split()
 
 IN_FILE = ["program", "file"]
@@ -152,35 +151,30 @@ def paragraphs(lines: DataFrame, preamble: bool = False) -> DataFrame:
 
 
 def statements(lines: DataFrame) -> DataFrame:
-    """Every statement in order: program, file, ord, paragraph, kind, text, line_start, line_end, depth, target, thru, dynamic.
+    """Every statement in order: program, file, ord, paragraph, kind, verb, text, line_start, line_end, depth, target, targets, thru, dynamic, parent, branch, guards, block_end.
 
-    depth counts the open IF, EVALUATE and in-line PERFORM around a statement; a full stop closes them all.
+    The tree is that of gneiss.operators.parse: depth counts the open statements around one, parent is the ord of the row around
+    it, branch what it is in (THEN, ELSE, WHEN, LOOP or a phrase such as AT END), guards the first lines of all that decides
+    on it, and block_end the last line of all that it holds. A phrase is a row of kind PHRASE. A GO TO with DEPENDING ON has all
+    its targets in targets, and the first in target.
     """
     so_far = Window.partitionBy(*IN_FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     p = _procedure(lines).withColumn("paragraph", F.coalesce(F.last("header", True).over(so_far), F.lit(PREAMBLE))).filter("header is null")
-    p = p.filter(~F.col("body").rlike(r"(?i)^[A-Z0-9-]+\s+SECTION\s*\.")).withColumn("words", F.regexp_extract_all("body", F.lit(r"('[^']*'|\"[^\"]*\"|[^\s'\"]+)"), F.lit(1)))
-    w = p.select(*IN_FILE, "paragraph", "line_no", F.posexplode("words").alias("pos", "word"))
-    order = Window.partitionBy(*IN_FILE).orderBy("line_no", "pos")
-    to_here, to_last = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    bare = F.rtrim(F.upper("word"), F.lit(".,"))
-    w = w.withColumn("bare", bare).withColumn("stop", F.col("word").endswith(".")).withColumn("closer", F.col("bare").rlike("^END-[A-Z]+$"))
-    w = w.withColumn("starts", F.col("bare").isin(VERBS) | F.col("closer"))
-    w = w.withColumn("ord", F.sum(F.col("starts").cast("int")).over(to_here)).withColumn("sentence", F.coalesce(F.sum(F.col("stop").cast("int")).over(to_last), F.lit(0)))
-    s = w.filter("ord > 0").groupBy(*IN_FILE, "ord").agg(F.min("paragraph").alias("paragraph"), F.min("sentence").alias("sentence"), F.array_sort(F.collect_list(F.struct("line_no", "pos", "word"))).alias("ws"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
-    s = s.withColumn("text", F.rtrim(F.array_join(F.transform("ws", lambda x: x["word"]), " "), F.lit(" .")))
+    s = parse.segments(p.filter(~F.col("body").rlike(r"(?i)^[A-Z0-9-]+\s+SECTION\s*\.")), IN_FILE)
+    s = s.withColumn("text", F.rtrim(F.array_join(F.transform("ws", lambda x: x["word"]), " "), F.lit(" ."))).drop("ws")
     word = lambda i: F.upper(F.coalesce(F.get(F.split("text", r"\s+"), F.lit(i)), F.lit("")))
     loop = (word(0) == "PERFORM") & (word(1).isin("", "UNTIL", "VARYING", "WITH", "TEST") | (word(2) == "TIMES"))
-    kind = F.when(loop, "PERFORM_LOOP").when(word(0) == "PERFORM", "PERFORM_CALL").when(word(0) == "GO", "GOTO").when(word(0).isin("IF", "ELSE", "EVALUATE", "WHEN", "CALL", "MOVE", "COMPUTE"), word(0)).when(word(0).startswith("END-"), "END").otherwise("OTHER")
-    s = s.withColumn("kind", kind).withColumn("verb", word(0))
-    closes = F.col("verb").isin("END-IF", "END-EVALUATE", "END-PERFORM")
-    step = F.when(F.col("kind").isin("IF", "EVALUATE", "PERFORM_LOOP"), 1).when(closes, -1).otherwise(0)
-    inside = Window.partitionBy(*IN_FILE, "sentence").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("depth", F.coalesce(F.sum(step).over(inside), F.lit(0)) - F.when(closes | F.col("kind").isin("ELSE"), 1).otherwise(0))
-    target = F.when(F.col("kind") == "PERFORM_CALL", word(1)).when(F.col("kind") == "GOTO", F.upper(F.regexp_extract("text", r"(?i)^GO\s+(?:TO\s+)?(\S+)", 1))).when(F.col("kind") == "CALL", F.regexp_extract("text", r"(?i)^CALL\s+['\"]([^'\"]+)", 1))
+    kind = F.when(F.col("is_phrase"), "PHRASE").when(loop, "PERFORM_LOOP").when(word(0) == "PERFORM", "PERFORM_CALL").when(word(0) == "GO", "GOTO").when(word(0).isin("IF", "ELSE", "EVALUATE", "WHEN", "CALL", "MOVE", "COMPUTE"), word(0)).when(F.col("head").startswith("END-"), "END").otherwise("OTHER")
+    s = s.withColumn("kind", kind).withColumn("verb", F.col("head"))
+    labels = F.filter(F.split(F.upper(F.regexp_extract("text", r"(?i)^GO\s+(?:TO\s+)?(.*?)(?:\s+DEPENDING\b.*)?$", 1)), r"[\s,]+"), lambda x: x != "")
+    s = s.withColumn("targets", F.when(F.col("kind") == "GOTO", labels).otherwise(F.expr("cast(array() as array<string>)")))
+    target = F.when(F.col("kind") == "PERFORM_CALL", word(1)).when(F.col("kind") == "GOTO", F.get("targets", F.lit(0))).when(F.col("kind") == "CALL", F.regexp_extract("text", r"(?i)^CALL\s+['\"]([^'\"]+)", 1))
     thru = F.when(F.col("kind") == "PERFORM_CALL", F.upper(F.regexp_extract("text", r"(?i)\bTHR(?:U|OUGH)\s+(\S+)", 1)))
     some = lambda c: F.nullif(c, F.lit(""))
     s = s.withColumn("target", some(target)).withColumn("thru", some(thru)).withColumn("dynamic", (F.col("kind") == "CALL") & F.col("target").isNull())
-    return s.filter("kind <> 'END'").select(*IN_FILE, F.row_number().over(Window.partitionBy(*IN_FILE).orderBy("ord")).alias("ord"), "paragraph", "kind", "verb", "text", "line_start", "line_end", "depth", "target", "thru", "dynamic")
+    closed = F.sum((F.col("kind") == "END").cast("int")).over(Window.partitionBy(*IN_FILE).orderBy("seg"))
+    s = s.withColumn("ord", (F.col("seg") - closed).cast("int"))
+    return parse.nested(s, IN_FILE, ["text", "target", "targets", "thru", "dynamic"]).select(*IN_FILE, "ord", "paragraph", "kind", "verb", "text", "line_start", "line_end", "depth", "target", "targets", "thru", "dynamic", "parent", "branch", "guards", "block_end")
 
 
 def edges(spans: DataFrame, stmts: DataFrame) -> DataFrame:
@@ -195,7 +189,7 @@ def edges(spans: DataFrame, stmts: DataFrame) -> DataFrame:
     calls = calls.join(at.withColumnRenamed("k", "low"), ["program", "label"]).join(at.select("program", F.col("label").alias("to"), F.col("k").alias("high")), ["program", "to"])
     reached = graph.thru(nodes, calls.select("program", "low", "high").distinct())
     perform = calls.join(reached, ["program", "low", "high"]).select("src", F.col("node").alias("dst"), F.lit("perform").alias("kind"))
-    goto = stmts.filter("kind = 'GOTO'").select("program", node("paragraph").alias("src"), F.col("target").alias("label")).join(at, ["program", "label"]).select("src", node("label").alias("dst"), F.lit("goto").alias("kind"))
+    goto = stmts.filter("kind = 'GOTO'").select("program", node("paragraph").alias("src"), F.explode("targets").alias("label")).join(at, ["program", "label"]).select("src", node("label").alias("dst"), F.lit("goto").alias("kind"))
     first = graph.entry_points(nodes).select(F.col("program").alias("callee"), F.col("node").alias("dst"))
     call = stmts.filter("kind = 'CALL' and not dynamic").select(node("paragraph").alias("src"), F.upper("target").alias("callee")).join(first, "callee").select("src", "dst", F.lit("call").alias("kind"))
     falls = fallthrough(spans, stmts).select(node("src").alias("src"), node("dst").alias("dst"))
@@ -240,7 +234,7 @@ def transfers(spans: DataFrame, stmts: DataFrame, masked_blocks: DataFrame | Non
     inside = ends.filter("reason is null").join(spans.select("program", "ord", F.col("name").alias("dst")), "program").filter(F.col("ord").between(F.col("low"), F.col("high")))
     perform = inside.select("program", "src", "line", F.lit("perform").alias("kind"), F.col("program").alias("dst_program"), "dst", "reason")
     perform = perform.unionByName(ends.filter("reason is not null").select("program", "src", "line", F.lit("perform").alias("kind"), none.alias("dst_program"), none.alias("dst"), "reason"))
-    jumps = stmts.filter("kind = 'GOTO'").select("program", F.col("paragraph").alias("src"), F.col("line_start").alias("line"), F.col("target").alias("label")).join(at, ["program", "label"], "left")
+    jumps = stmts.filter("kind = 'GOTO'").select("program", F.col("paragraph").alias("src"), F.col("line_start").alias("line"), F.explode_outer("targets").alias("label")).join(at, ["program", "label"], "left")
     known = F.col("k").isNotNull()
     goto = jumps.select("program", "src", "line", F.lit("goto").alias("kind"), F.when(known, F.col("program")).alias("dst_program"), F.when(known, F.col("label")).alias("dst"), F.when(~known, F.lit("unknown paragraph")).alias("reason"))
     out = stmts.filter("kind = 'CALL'").select("program", F.col("paragraph").alias("src"), F.col("line_start").alias("line"), F.lit("call").alias("kind"), F.upper("target").alias("callee"), F.when(F.col("dynamic"), F.lit("dynamic")).alias("reason"))
