@@ -9,7 +9,9 @@ from gneiss.operators import hunts, investigate
 from gneiss.operators.store import stored
 from gneiss.plans.registry import _t, query
 
-LIMITS = {"max_steps": 10, "max_tool_calls": 6, "max_tokens": 2_000, "wall_ms": 40_000}
+LIMITS = {"max_steps": 10, "max_tool_calls": 6, "max_tokens": 4_000, "wall_ms": 45_000}
+#: Every turn that doesn't end a run is a call, so steps can only run out before calls do.
+FEWER_STEPS = LIMITS | {"max_steps": 4}
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -29,25 +31,29 @@ d AS (SELECT *, CASE WHEN et = 'purchase' AND k % 2 = 0 THEN 'finding' WHEN et =
 CASE et WHEN 'view' THEN 'read_paragraph' WHEN 'click' THEN 'grep' ELSE 'no_' || et END AS tool, CAST(floor(value * 10) AS BIGINT) AS tokens, k * 70 AS model_ms, k * 40 AS tool_ms FROM e)"""
 
 # the loop as it is written down: one state a turn, each from the one before
-_LOOP = f"""{_SAID}, users AS (SELECT DISTINCT user_id AS run_id FROM events), loop(run_id, turn, steps, calls, spent, ms, fails, good, stop) AS (
+def _loop(limits: dict[str, int]) -> str:
+    return f"""{_SAID}, users AS (SELECT DISTINCT user_id AS run_id FROM events), loop(run_id, turn, steps, calls, spent, ms, fails, good, stop) AS (
 SELECT run_id, 0, 0, 0, 0, 0, 0, 0, CAST(NULL AS VARCHAR) FROM users
 UNION ALL SELECT run_id, turn, steps + heard, calls + called, spent + heard * tokens, ms + heard * model_ms + called * tool_ms, fails + called * bad, greatest(good, called * (1 - bad) * reads),
   CASE WHEN early IS NOT NULL THEN early WHEN kind = 'none' THEN 'model response unavailable: no recorded decision' WHEN kind = 'lost' THEN 'model response unavailable: ' || CASE WHEN k % 2 = 0 THEN 'k=' || k ELSE 'unknown' END
   WHEN over IS NOT NULL THEN over WHEN kind = 'abstain' THEN CASE WHEN k % 2 = 0 THEN 'k=' || k ELSE 'model abstained' END WHEN kind = 'finding' THEN 'finding' WHEN called = 0 THEN 'tool-call budget exhausted'
-  WHEN ms + model_ms + tool_ms >= {LIMITS['wall_ms']} THEN 'wall-clock budget exhausted' END
-FROM (SELECT *, CASE WHEN early IS NULL AND kind IN ('tool', 'finding', 'abstain') THEN 1 ELSE 0 END AS heard, CASE WHEN early IS NULL AND over IS NULL AND kind = 'tool' AND calls < {LIMITS['max_tool_calls']} THEN 1 ELSE 0 END AS called
-FROM (SELECT *, CASE WHEN ms >= {LIMITS['wall_ms']} THEN 'wall-clock budget exhausted' WHEN steps >= {LIMITS['max_steps']} THEN 'step budget exhausted' END AS early,
-  CASE WHEN spent + tokens > {LIMITS['max_tokens']} THEN 'token budget exhausted' WHEN ms + model_ms >= {LIMITS['wall_ms']} THEN 'wall-clock budget exhausted' END AS over
+  WHEN ms + model_ms + tool_ms >= {limits['wall_ms']} THEN 'wall-clock budget exhausted' END
+FROM (SELECT *, CASE WHEN early IS NULL AND kind IN ('tool', 'finding', 'abstain') THEN 1 ELSE 0 END AS heard, CASE WHEN early IS NULL AND over IS NULL AND kind = 'tool' AND calls < {limits['max_tool_calls']} THEN 1 ELSE 0 END AS called
+FROM (SELECT *, CASE WHEN ms >= {limits['wall_ms']} THEN 'wall-clock budget exhausted' WHEN steps >= {limits['max_steps']} THEN 'step budget exhausted' END AS early,
+  CASE WHEN spent + tokens > {limits['max_tokens']} THEN 'token budget exhausted' WHEN ms + model_ms >= {limits['wall_ms']} THEN 'wall-clock budget exhausted' END AS over
 FROM (SELECT l.run_id, l.turn + 1 AS turn, steps, calls, spent, ms, fails, good, coalesce(kind, 'none') AS kind, coalesce(k, 0) AS k, coalesce(tokens, 0) AS tokens, coalesce(model_ms, 0) AS model_ms, coalesce(tool_ms, 0) AS tool_ms,
   CASE WHEN tool LIKE 'no_%' OR k % 4 < 2 THEN 1 ELSE 0 END AS bad, CASE WHEN tool = 'read_paragraph' THEN 1 ELSE 0 END AS reads FROM loop l LEFT JOIN d ON d.run_id = l.run_id AND d.turn = l.turn + 1 WHERE l.stop IS NULL)))),
 ended AS (SELECT * FROM loop WHERE stop IS NOT NULL)"""
 
 
-def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+_LOOP = _loop(LIMITS)
+
+
+def _paths(spark: SparkSession, d: str, limits: dict[str, int] = LIMITS) -> tuple[DataFrame, DataFrame]:
     said = stored(_decisions(spark, d), "decisions")
     worked = F.col("k") % 4 >= 2
     results = said.select("tool", "arguments", F.when(worked, F.concat(F.lit("seen "), F.col("k").cast("string"))).alias("observation"), F.when(~worked, "not there").alias("error")).distinct()
-    each = investigate.turns(said.select("run_id"), said, LIMITS)
+    each = investigate.turns(said.select("run_id"), said, limits)
     return stored(investigate.trajectories(each, results), "trajectories"), said
 
 
@@ -58,10 +64,15 @@ def investigation_loop(spark, d):
     return out.select("run_id", "steps", "tool_calls", "tokens_used", "elapsed_ms", "stop", "budget_exhausted", F.size(F.filter("transcript", lambda s: s["failed"])).alias("failed_calls"))
 
 
-@query(f"WITH RECURSIVE {_LOOP} SELECT stop, count(*) AS runs, CAST(sum(spent) AS BIGINT) AS tokens_used, CAST(max(ms) AS BIGINT) AS slowest_ms FROM ended WHERE stop LIKE '%exhausted' GROUP BY stop")
+def _breaches(limits: dict[str, int]) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE {_loop(limits)} SELECT {limits['max_steps']} AS max_steps, stop, count(*) AS runs, CAST(sum(spent) AS BIGINT) AS tokens_used, CAST(max(ms) AS BIGINT) AS slowest_ms FROM ended WHERE stop LIKE '%exhausted' GROUP BY stop)"
+
+
+@query(f"{_breaches(LIMITS)} UNION ALL {_breaches(FEWER_STEPS)}")
 def breaches_by_budget(spark, d):
-    out, _ = _paths(spark, d)
-    return out.filter("budget_exhausted").groupBy("stop").agg(F.count("*").alias("runs"), F.sum("tokens_used").alias("tokens_used"), F.max("elapsed_ms").alias("slowest_ms"))
+    """The runs that broke each budget, with many steps allowed and with few."""
+    broken = lambda limits: _paths(spark, d, limits)[0].filter("budget_exhausted").withColumn("max_steps", F.lit(limits["max_steps"]))
+    return broken(LIMITS).unionByName(broken(FEWER_STEPS)).groupBy("max_steps", "stop").agg(F.count("*").alias("runs"), F.sum("tokens_used").alias("tokens_used"), F.max("elapsed_ms").alias("slowest_ms"))
 
 
 @query(f"""WITH RECURSIVE {_LOOP}, judged AS (SELECT ended.run_id, stop, k, value,

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators import program, slices
+from gneiss.operators import materialize, program, slices
 from gneiss.operators.store import stored
 from gneiss.plans.registry import _ORDER, _t, query
 from gneiss.sources import files
@@ -168,3 +168,53 @@ def program_writers(spark, d):
     asked = fields.select("program").distinct().withColumn("variable", F.lit("TOTAL"))
     found = slices.writers_and_callers(stored(program.sites(stmts), "sites"), fields, program.edges(stored(spans, "spans"), stmts), asked)
     return found.select("program", "paragraph", F.array_join("callers", ",").alias("callers"))
+
+
+# What each order's program is edited by, told from the number of its lines and its key: a limit's comparison on one line (undone
+# again), a rule taken out of its three lines (recorded on one line, found by the last of them), a fragment that isn't there, one that
+# stands twice in its line, and a note without its values.
+_EDITED = f"""{_L}, o AS (SELECT program, k, max(n) AS n, k % 5 AS way FROM l GROUP BY program, k), x AS (
+SELECT program, 1 AS line_no, '       IDENTIFICATION DIVISION.' AS text, 0 AS i FROM o UNION ALL SELECT program, 2, '       PROGRAM-ID. ' || program || '.', 0 FROM o UNION ALL SELECT program, 3, '       DATA DIVISION.', 0 FROM o
+UNION ALL SELECT program, 4, '       WORKING-STORAGE SECTION.', 0 FROM o UNION ALL SELECT program, 5, '       01  TOTALS.', 0 FROM o UNION ALL SELECT program, 6, '           05  TOTAL PIC 9(9).', 0 FROM o UNION ALL SELECT program, 7, '           05  LIMIT-V PIC 9(4) VALUE 30.', 0 FROM o
+UNION ALL SELECT program, 7 + i, '           05  F' || i || ' PIC 9(4) VALUE ' || q || '.', 0 FROM l UNION ALL SELECT program, 8 + n, '       PROCEDURE DIVISION.', 0 FROM o
+UNION ALL SELECT program, b + 1, '       P' || i || '.', 0 FROM l UNION ALL SELECT program, b + 2, '           IF F' || i || ' > LIMIT-V', i FROM l UNION ALL SELECT program, b + 3, '               ADD F' || i || ' TO TOTAL', i FROM l
+UNION ALL SELECT program, b + 4, '           END-IF.', i FROM l UNION ALL SELECT program, b + 5, '           PERFORM P' || (p % (n + 1) + 1) || '.', 0 FROM l
+UNION ALL SELECT program, b + 6, CASE flag WHEN 'R' THEN '           GO TO P' || (p % n + 1) || '.' WHEN 'A' THEN '           CALL ''O' || (k + 1) || '''.' ELSE '           EXEC CICS XCTL PROGRAM(''O' || (k + 2) || ''') END-EXEC.' END, 0 FROM l)"""
+
+
+def _instances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(instances, loci, lines): one edit of every program, in the middle paragraph."""
+    li = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").cast("int").alias("n"))
+    i, n, way = F.floor((F.col("n") + 1) / 2).cast("int"), F.col("n"), F.col("k") % 5
+    b = 8 + n + 6 * (i - 1)
+    f, name = F.concat(F.lit("F"), i.cast("string")), F.concat(F.lit("O"), F.col("k").cast("string"))
+    note = (
+        F.when(way == 0, F.concat(F.lit("op; old='"), f, F.lit(" > LIMIT-V'; new='"), f, F.lit(" >= LIMIT-V'")))
+        .when(way == 1, F.concat(F.lit("op; old='if "), f, F.lit(" > LIMIT-V ADD "), f, F.lit(" TO TOTAL END-IF.'; new='(deleted)'")))
+        .when(way == 2, "op; old='NOWHERE'; new='THERE'").when(way == 3, "op; old='I'; new='J'").otherwise("op; old=LIMIT-V; new='X'")
+    )
+    line = F.when(way.isin(1), b + 4).otherwise(b + 2)
+    each = li.select(name.alias("instance_id"), note.alias("note"), F.concat(name, F.lit(".cbl")).alias("file"), line.cast("int").alias("line_start"), line.cast("int").alias("line_end"))
+    lines = _lines(spark, d).select("file", "line_no", "text")
+    return stored(each.select("instance_id", "note"), "instances"), stored(each.select("instance_id", "file", "line_start", "line_end"), "loci"), stored(lines, "lines")
+
+
+@query(f"""WITH {_EDITED}, m AS (SELECT program, line_no, CASE WHEN way = 0 AND i = (n + 1) // 2 THEN replace(text, ' > ', ' >= ')
+WHEN way = 1 AND i = (n + 1) // 2 THEN regexp_replace(text, '[A-Z0-9].*', '') || repeat(' ', length(text) - length(regexp_replace(text, '[A-Z0-9].*', ''))) ELSE text END AS text FROM x JOIN o USING (program) WHERE way < 2)
+SELECT program AS instance_id, sha256(string_agg(text, chr(10) ORDER BY line_no)) AS sha256, NULL AS error FROM m GROUP BY program
+UNION ALL SELECT program, NULL, CASE way WHEN 2 THEN 'no match' WHEN 3 THEN 'ambiguous line' ELSE 'the note lacks old or new' END FROM o WHERE way > 1""")
+def materialized_programs(spark, d):
+    """Each edited program's digest, or why its edit can't be made."""
+    texts, errors = materialize.materialized(*_instances(spark, d))
+    return materialize.digests(texts).select("instance_id", "sha256").withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+
+@query(f"WITH {_EDITED} SELECT program AS instance_id, sha256(string_agg(text, chr(10) ORDER BY line_no)) AS sha256 FROM x JOIN o USING (program) WHERE way = 0 GROUP BY program")
+def undone_programs(spark, d):
+    """Replacements made and put back: the digests of the programs as they were."""
+    instances, loci, lines = _instances(spark, d)
+    edited, _ = materialize.materialized(instances, loci, lines)
+    back = stored(materialize.undone(instances).join(edited.select("instance_id").distinct(), "instance_id", "left_semi"), "back")
+    made = stored(edited.join(back, "instance_id", "left_semi").select("file", "line_no", "text"), "edited")
+    again, _ = materialize.materialized(back, loci.join(back, "instance_id", "left_semi"), made)
+    return materialize.digests(again).select("instance_id", "sha256")
