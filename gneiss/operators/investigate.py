@@ -60,7 +60,7 @@ def turns(runs: DataFrame, decisions: DataFrame, limits: dict[str, int] = LIMITS
     late = lambda ms: ms >= limits["wall_ms"]
     heard = F.col("ms_before") + _n("model_ms")
     early = F.when(late(F.col("ms_before")), WALL).when(F.col("turn") > most, STEPS)
-    failed = F.when(~F.col("recorded"), "model response unavailable: no recorded decision").when(~F.coalesce(F.col("kind").isin("tool", "finding", "abstain"), F.lit(False)), F.concat(F.lit("model response unavailable: "), F.coalesce("reason", F.lit("unknown"))))
+    failed = F.when(~F.col("recorded"), "model response unavailable: no recorded decision").when(~F.coalesce(F.col("kind").isin("tool", "finding", "abstain"), F.lit(False)), F.concat(F.lit("model response unavailable: "), F.coalesce(F.nullif("reason", F.lit("")), F.lit("unknown"))))
     spent = F.when(F.col("tokens_before") + _n("tokens") > limits["max_tokens"], TOKENS).when(late(heard), WALL)
     said = F.when(F.col("kind") == "abstain", F.coalesce(F.nullif("reason", F.lit("")), F.lit("model abstained"))).when(F.col("kind") == "finding", "finding")
     full = F.when(is_tool & (F.col("calls_before") >= limits["max_tool_calls"]), CALLS)

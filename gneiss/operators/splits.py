@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.store import stored
+
 SPLITS = ("train", "dev", "test")
 #: The shares of the splits.
 SHARES = (0.5, 1 / 6, 1 / 3)
@@ -15,60 +17,113 @@ def operator_of(note: Column) -> Column:
     return F.trim(F.split(note, ";", 2)[0])
 
 
-def assign_groups(cells: DataFrame, seed: int, fixed: dict[str, str] | None = None, shares: tuple[float, ...] = SHARES) -> dict[str, str]:
-    """group -> split, so that every cell's counts come near the shares; all instances of a group stay together.
+#: Groups that one round moves at most, and the share of a cell's rows that it may be off its target.
+BATCH, TOLERANCE = 1_000, 0.005
 
-    cells: group, cell, n. Groups are placed one by one, the largest first, each where the squared differences from the targets become
-    least, ties by a hash of seed, group and split; then single groups are moved while that helps. fixed groups stay where they are.
-    The matrix of groups and cells is counted in Spark; placing some thousand groups is the driver's.
-    """
-    import hashlib
-    from collections import defaultdict
-
-    fixed = fixed or {}
-    rows = cells.groupBy("group", "cell").agg(F.sum("n").alias("n")).limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("a million cells at most can be placed")
-    own: dict[str, dict[str, int]] = defaultdict(dict)
-    total: dict[str, int] = defaultdict(int)
-    for r in rows:
-        own[r["group"]][r["cell"]] = r["n"]
-        total[r["cell"]] += r["n"]
-    held = {s: defaultdict(int) for s in SPLITS}
-    share = dict(zip(SPLITS, shares, strict=True))
-    draw = lambda g, s: hashlib.sha256(f"{seed}|{g}|{s}".encode()).hexdigest()
-    # how much worse the cells of a group get by adding (sign 1) or taking (-1) it
-    cost = lambda g, s, sign: sum((held[s][c] + sign * n - share[s] * total[c]) ** 2 - (held[s][c] - share[s] * total[c]) ** 2 for c, n in own[g].items())
-
-    def move(g, s, sign):
-        for c, n in own[g].items():
-            held[s][c] += sign * n
-
-    out = {}
-    for g in sorted(own, key=lambda g: (g not in fixed, -sum(own[g].values()), g)):
-        out[g] = fixed.get(g) or min(SPLITS, key=lambda s: (round(cost(g, s, 1), 9), draw(g, s)))  # noqa: B023
-        move(g, out[g], 1)
-    for _ in range(10 * len(own)):
-        best = (-1e-9, None, None)
-        for g in sorted(set(own) - set(fixed)):
-            leave = cost(g, out[g], -1)
-            best = min([best, *((leave + cost(g, s, 1), g, s) for s in SPLITS if s != out[g])], key=lambda x: (x[0], str(x[1:])))
-        if best[1] is None:
-            break
-        move(best[1], out[best[1]], -1)
-        out[best[1]] = best[2]
-        move(best[1], best[2], 1)
+
+def _draw(seed: int, group: str) -> Column:
+    """A number in [0, 1) by a hash of seed and group."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def _drawn(draw: Column, shares: tuple[float, ...]) -> Column:
+    out = F.lit(SPLITS[-1])
+    for k in range(len(SPLITS) - 2, -1, -1):
+        out = F.when(draw < sum(shares[: k + 1]), SPLITS[k]).otherwise(out)
     return out
 
 
-def build_splits(instances: DataFrame, seed: int, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """instances (base, drift_type, is_interprocedural, real) with split. Groups are bases; those with a real instance go to test."""
+class _Dealt:
+    """Groups with their split and cells; held in the shared folder, moved round by round. The driver sees a cell's sums and the groups of one move."""
+
+    def __init__(self, cells: DataFrame, seed: int, shares: tuple[float, ...]):
+        # cells: group, cell, type, n, fixed
+        self.seed = seed
+        spark = cells.sparkSession
+        self.rows = stored(cells.withColumn("split", F.when(F.col("fixed"), "test").otherwise(_drawn(_draw(seed, "group"), shares))), "dealt")
+        share = spark.createDataFrame(list(zip(SPLITS, map(float, shares), strict=True)), "split string, share double")
+        totals = cells.groupBy("cell").agg(F.sum("n").alias("total"))
+        self.want = stored(totals.crossJoin(F.broadcast(share)).select("cell", "split", "total", (F.col("total") * F.col("share")).alias("want")), "want")  # three rows a cell
+
+    def off(self) -> DataFrame:
+        """cell, split, total and d, how many rows a split has beyond its target."""
+        held = self.rows.groupBy("cell", "split").agg(F.sum("n").alias("n"))
+        return self.want.join(held, ["cell", "split"], "left").select("cell", "split", "total", (F.coalesce("n", F.lit(0)) - F.col("want")).alias("d"))
+
+    def move(self, groups: list, to: str) -> None:
+        moved = F.broadcast(self.rows.sparkSession.createDataFrame([(g,) for g in groups], self.rows.select("group").schema))
+        here = self.rows.join(moved.withColumn("__to", F.lit(to)), "group", "left")
+        self.rows = stored(here.withColumn("split", F.coalesce("__to", "split")).drop("__to"), "dealt")
+
+    def balance(self) -> None:
+        """Move groups while a cell's counts come nearer to the targets, by squared distance over all cells."""
+        stuck: set[tuple] = set()
+        while True:
+            off = stored(self.off(), "off")
+            a, b = off.alias("a"), off.alias("b")
+            pairs = a.join(b, F.expr("a.cell = b.cell AND a.d > 0 AND b.d < 0")).select("a.cell", F.col("a.split").alias("s"), F.col("b.split").alias("t"), F.least("a.d", -F.col("b.d")).alias("need"), "a.total")
+            pairs = pairs.filter(F.col("need") > F.greatest(F.lit(0.5), TOLERANCE * F.col("total")))
+            worst = next((r for r in pairs.orderBy(F.desc("need"), "cell", "s", "t").limit(len(stuck) + 1).collect() if (r["cell"], r["s"], r["t"]) not in stuck), None)
+            if worst is None:
+                return
+            source, to = off.filter(F.col("split") == worst["s"]).select("cell", F.col("d").alias("ds")), off.filter(F.col("split") == worst["t"]).select("cell", F.col("d").alias("dt"))
+            free = self.rows.filter(~F.col("fixed") & (F.col("split") == worst["s"]))
+            change = F.sum(2 * F.col("n") * (F.col("n") - F.col("ds") + F.col("dt")))
+            scored = free.join(source, "cell").join(to, "cell").groupBy("group").agg(change.alias("change"), F.sum(F.when(F.col("cell") == worst["cell"], F.col("n")).otherwise(0)).alias("n"))
+            best = scored.filter("n > 0 AND change < -1e-9").orderBy("change", _draw(self.seed, "group"), "group").limit(BATCH).collect()
+            if not best:
+                stuck.add((worst["cell"], worst["s"], worst["t"]))
+                continue
+            stuck.clear()
+            taken, n = [], 0
+            for r in best:
+                if taken and n + r["n"] > worst["need"]:
+                    break
+                taken.append(r["group"])
+                n += r["n"]
+            before, cost = self.rows, off.agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+            self.move(taken, worst["t"])
+            if len(taken) > 1 and self.off().agg(F.sum(F.col("d") * F.col("d"))).first()[0] >= cost:  # together they overshoot elsewhere
+                self.rows = before
+                self.move(taken[:1], worst["t"])
+
+    def repair(self, floors: DataFrame) -> None:
+        """Move groups into splits that have fewer rows of a type than their floor, from splits that stay at or above theirs; what can't be met is left."""
+        floors = stored(floors.select("split", F.col("drift_type").alias("type"), F.col("floor").cast("long").alias("floor")), "floors")
+        given_up: set[tuple] = set()
+        while True:
+            held = self.rows.groupBy("split", "type").agg(F.sum("n").alias("n"))
+            grid = stored(held.join(floors, ["split", "type"], "full").select("split", "type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("floor", F.lit(0)).alias("floor")), "grid")
+            low = grid.filter("n < floor").orderBy(F.desc(F.col("floor") - F.col("n")), "split", "type").limit(len(given_up) + 1).collect()
+            low = next((r for r in low if (r["split"], r["type"]) not in given_up), None)
+            if low is None:
+                return
+            spare = grid.select("split", "type", (F.col("n") - F.col("floor")).alias("spare"))
+            free = self.rows.filter(~F.col("fixed") & (F.col("split") != low["split"])).groupBy("group", "split", "type").agg(F.sum("n").alias("n")).join(spare, ["split", "type"])
+            able = free.groupBy("group", "split").agg(F.min(F.col("spare") - F.col("n")).alias("left"), F.sum("n").alias("rows"), F.sum(F.when(F.col("type") == low["type"], F.col("n")).otherwise(0)).alias("n"))
+            best = able.filter("n > 0 AND left >= 0").orderBy(F.desc(F.col("n") / F.col("rows")), _draw(self.seed, "group"), "group").first()
+            if best is None:
+                given_up.add((low["split"], low["type"]))
+                continue
+            self.move([best["group"]], low["split"])
+
+
+def build_splits(instances: DataFrame, seed: int, shares: tuple[float, ...] = SHARES, floors: DataFrame | None = None) -> DataFrame:
+    """instances (base, drift_type, is_interprocedural, real) with split. Groups are bases; those with a real instance go to test.
+
+    Groups are dealt by a hash of seed and base, which keeps the shares in expectation; then whole groups are moved until each cell (type and
+    stratum) is within TOLERANCE of its target or no move helps, and, with floors (split, drift_type, floor), until each split has as many of
+    a type as its floor asks or no move can give them without taking another split below its own. Every round scores all moves in Spark: a
+    bases' table is read and written, and the driver sees one cell and at most BATCH groups. split_errors() tells what is left.
+    """
     cell = F.concat_ws("/", "drift_type", F.when(F.col("is_interprocedural"), "interprocedural").otherwise("local"))
-    cells = instances.groupBy(F.col("base").alias("group"), cell.alias("cell")).agg(F.count("*").alias("n"))
-    real = {r["base"]: "test" for r in instances.filter("real").select("base").distinct().limit(100_000).collect()}
-    where = assign_groups(cells, seed, real, shares)
-    rows = instances.sparkSession.createDataFrame(sorted(where.items()), "base string, split string")
-    return instances.join(rows, "base", "left")
+    cells = instances.groupBy(F.col("base").alias("group"), cell.alias("cell"), F.col("drift_type").alias("type")).agg(F.count("*").alias("n"))
+    real = instances.filter("real").select(F.col("base").alias("group"), F.lit(True).alias("fixed")).distinct()
+    dealt = _Dealt(cells.join(real, "group", "left").withColumn("fixed", F.coalesce("fixed", F.lit(False))), seed, shares)
+    dealt.balance()
+    if floors is not None:
+        dealt.repair(floors)
+    return instances.join(dealt.rows.select(F.col("group").alias("base"), "split").distinct(), "base", "left")
 
 
 def split_errors(dealt: DataFrame, floors: DataFrame) -> DataFrame:
@@ -82,12 +137,7 @@ def split_errors(dealt: DataFrame, floors: DataFrame) -> DataFrame:
 
 def group_split(rows: DataFrame, group: str, seed: int, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """rows with split, drawn by a hash of the group: no counts and no shuffle, for any number of groups; shares hold in expectation."""
-    draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    out, upto = F.lit(SPLITS[-1]), sum(shares)
-    for name, share in reversed(list(zip(SPLITS[:-1], shares[:-1], strict=True))):
-        upto = sum(shares[: SPLITS.index(name) + 1])
-        out = F.when(draw < upto, name).otherwise(out)
-    return rows.withColumn("split", out)
+    return rows.withColumn("split", _drawn(_draw(seed, group), shares))
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: str, by: str = "drift_type", stratum: str = "is_interprocedural", key: str = "instance_id") -> DataFrame:

@@ -25,6 +25,8 @@ from gneiss.sources import files
 
 #: Lines of code shown, matches listed, characters of an observation.
 CODE_LINES, MATCHES, OBSERVED = 60, 200, 4000
+#: Runs in the line map of one copybook, beyond which asking is an error.
+MAP_RUNS = 10_000
 TOOLS = ("read_paragraph", "read_program", "find_callers", "find_callees", "trace_variable", "slice_on", "resolve_copybook", "get_data_layout", "grep", "run_program", "search_rules")
 
 
@@ -236,7 +238,9 @@ class Corpus:
         whole = own.select(F.upper("name").alias("program"), "file", "line_no", "text")
         made = program.expanded(whole, files.first_by_path(self.books).select("name", "line_no", "text"))
         rows = made.orderBy("at").limit(CODE_LINES + 1).collect()
-        runs = program.line_map(made).orderBy("expanded_start").limit(10_000).collect()
+        runs = program.line_map(made).orderBy("expanded_start").limit(MAP_RUNS + 1).collect()
+        if len(runs) > MAP_RUNS:
+            raise LookupFailed(f"copybook {name!r} has more than {MAP_RUNS} runs of lines; program.line_map() has them all")
         return Expansion(name.upper(), "\n".join((r["text"] or "").rstrip() for r in rows[:CODE_LINES]), len(rows) > CODE_LINES, [{k: r[k] for k in ("expanded_start", "expanded_end", "file", "first_line")} for r in runs])
 
     def get_data_layout(self, record: str) -> RecordLayout:
