@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.iterate import spread
+from gneiss.operators.store import stored
 
 
 def callees(edges: DataFrame) -> DataFrame:
@@ -54,3 +55,21 @@ def thru(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """Every node from low to high, for calls (program, low, high) over nodes (program, ord, node); backward ranges are unresolved."""
     good = calls.filter("low <= high")
     return good.join(nodes, (good["program"] == nodes["program"]) & nodes["ord"].between(good["low"], good["high"])).select(good["program"], "low", "high", "node")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, depth, path): a shortest path from a seed to every node in reach, as an array of nodes; of several the one with the least predecessor at each step back.
+
+    Parents come from the depths, by one join: the least source of an edge whose depth is one less. Paths are then put together by
+    doubling: each round joins what a node has of its path with what the path's first node has, so a path of n edges takes log2(n) rounds.
+    """
+    far = stored(depths(edges, seeds), "depths")
+    by = edges.select("src", "dst").distinct().join(far.select(F.col("node").alias("src"), F.col("depth").alias("before")), "src")
+    parent = by.join(far.select(F.col("node").alias("dst"), "depth"), "dst").filter("before = depth - 1").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    # head is the first node of what is known of the path; a seed's head is null
+    known = stored(far.join(parent, "node", "left").select("node", "depth", F.col("parent").alias("head"), F.array("node").alias("path")), "paths")
+    while not known.filter("head is not null").isEmpty():
+        up = known.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("path").alias("front"))
+        open_ = known.filter("head is not null").join(up, "head").select("node", "depth", F.col("next").alias("head"), F.concat("front", "path").alias("path"))
+        known = stored(known.filter("head is null").unionByName(open_), "paths")
+    return known.select("node", "depth", "path")

@@ -118,3 +118,23 @@ def seed_plan(hosted: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFra
 def regulated(leaves: DataFrame) -> DataFrame:
     """value: every number that a rule sets, whatever program it is for. leaves: value, as JSON; truth values and texts are none."""
     return leaves.filter(F.col("value").rlike(r"^-?\d+(\.\d+)?$")).select(F.col("value").cast("double").alias("value")).distinct()
+
+
+def flattened(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, path, leaf) of every leaf of a column of current values in JSON, composites at any depth; paths are dotted, leaves left as JSON text.
+
+    A composite's value holds named parts, each a value in turn; a leaf is the value of what is no composite, or itself where it has none. A
+    round opens all composites of one depth, of all rows at once; there are as many as the deepest has levels. A null has one null leaf.
+    """
+    from gneiss.operators.store import stored
+
+    todo, out = rows.select(key, F.lit(None).cast("string").alias("path"), F.col(value).alias("json")), None
+    composite = F.coalesce(F.get_json_object("json", "$.kind") == "composite", F.lit(False))
+    while True:
+        todo = stored(todo, "values")
+        leaf = todo.filter(~composite).select(key, "path", F.coalesce(F.get_json_object("json", "$.value"), F.col("json")).alias("leaf"))
+        out = leaf if out is None else out.unionByName(leaf)
+        inner = todo.filter(composite).select(key, "path", F.explode(F.map_entries(F.from_json(F.get_json_object("json", "$.value"), "map<string,string>"))).alias("e"))
+        todo = inner.select(key, F.concat_ws(".", "path", "e.key").alias("path"), F.col("e.value").alias("json"))
+        if todo.isEmpty():
+            return out

@@ -1,12 +1,12 @@
-"""Queries of what is fitted in rounds: a probe by gradient descent, and splits that are repaired until their gates hold."""
+"""Queries of what is made in rounds: a probe by gradient descent, splits repaired until their gates hold, paths, nested values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators import evaluate, splits
-from gneiss.plans.registry import _t, query
+from gneiss.operators import evaluate, graph, runs, splits
+from gneiss.plans.registry import _EDGES, _SEEDS, _edges, _seeds, _t, query
 
 _STEPS, _RATE, _DECAY = 4, 0.15, 0.02
 
@@ -55,3 +55,27 @@ def split_gates(spark, d):
     n = dealt.agg(F.count("*").alias("instances"))
     near = F.abs(F.col("n") - share * F.col("total")) <= 0.02 * F.col("total")
     return gates.select("split", "drift_type", near.alias("near"), (F.col("n") >= F.floor(F.col("total") / 7)).alias("floor_met")).crossJoin(F.broadcast(whole.crossJoin(n)))  # one row
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, {_SEEDS}, r(node, depth) AS (SELECT node, 0 FROM seeds UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 60), far AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+parents AS (SELECT e.dst AS node, min(e.src) AS parent FROM e JOIN far a ON a.node = e.src JOIN far b ON b.node = e.dst AND b.depth = a.depth + 1 GROUP BY e.dst),
+p(node, depth, path) AS (SELECT node, depth, CAST(node AS VARCHAR) FROM far WHERE depth = 0 UNION ALL SELECT parents.node, depth + 1, path || '>' || parents.node FROM p JOIN parents ON parent = p.node)
+SELECT node, CAST(depth AS INTEGER) AS depth, path FROM p""")
+def shortest_paths(spark, d):
+    """From the seeds to every part in reach, by the least predecessor."""
+    return graph.shortest_paths(_edges(spark, d), _seeds(spark, d)).select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("""SELECT c_custkey AS id, unnest(['segment', 'place.nation', 'place.more.name', 'place.more.deep.same', 'place.more.deep.two']) AS path,
+unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR), c_name, CAST(c_custkey AS VARCHAR), '[1,2]']) AS leaf FROM customer WHERE c_nationkey > 0 UNION ALL SELECT c_custkey, NULL, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 0""")
+def flattened_values(spark, d):
+    """Values of four levels for each customer, and plain ones for those of the first nation."""
+    c = _t(spark, d, "customer")
+    one = lambda kind, value: F.concat(F.lit(f'{{"kind":"{kind}","value":'), value, F.lit("}"))
+    many = lambda **parts: one("composite", F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items())), F.lit("}")))
+    text = lambda name: one("text", F.concat(F.lit('"'), F.col(name), F.lit('"')))
+    number = lambda name: one("number", F.col(name).cast("string"))
+    deep = many(same=number("c_custkey"), two=F.lit('{"kind":"enum_set","value":[1,2]}'))
+    whole = many(segment=text("c_mktsegment"), place=many(nation=number("c_nationkey"), more=many(name=text("c_name"), deep=deep)))
+    rows = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") > 0, whole).otherwise(number("c_custkey")).alias("current"))
+    return runs.flattened(rows, "id", "current")
