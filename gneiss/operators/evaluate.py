@@ -9,6 +9,10 @@ from gneiss.functions.text import ratio
 from gneiss.operators.store import stored
 
 
+#: Rows of two numbers that are broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def _n(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
@@ -159,6 +163,30 @@ def resampled(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
     return _drawn(pairs, draws, seed, totals, "w wd").select("draw", (F.col("wd") / F.greatest(F.col("w"), F.lit(1.0))).alias("mean"))
 
 
+def exact_resampled(pairs: DataFrame, draws: int, seed: int, key: str = "id") -> DataFrame:
+    """draw (from 0), n and mean of delta over resamples of exactly as many rows as there are, drawn with replacement.
+
+    Pick j of a draw is the row whose number is an md5 of seed, draw and j, modulo the count. Rows are numbered in the order of their key's
+    md5, then key: within buckets of equal first digits, plus the rows of the buckets before, so no task sorts them all. Picks are made
+    where they are joined: with the rows broadcast while they are few, by a shuffle of numbers beyond that. Rows without a delta are left out; without
+    any row there is no draw.
+    """
+    own = pairs.filter("delta is not null").select(F.md5(F.col(key).cast("string").cast("binary")).alias("h"), F.col(key).alias("key"), F.col("delta").cast("double").alias("delta")).withColumn("bucket", F.substring("h", 1, 3))
+    sizes = own.groupBy("bucket").agg(F.count("*").alias("size"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).select("bucket", "before")  # 4,096 rows at most
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "key"))
+    numbered = stored(own.withColumn("k", inside).join(F.broadcast(before), "bucket").select((F.col("before") + F.col("k") - 1).alias("at"), "delta"), "numbered")
+    n = numbered.count()
+    if not n:
+        return numbered.sparkSession.createDataFrame([], "draw long, n long, mean double")
+    j, draw = F.col("id") % n, F.expr(f"id div {n}L")
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), j.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long") % n
+    picks = numbered.sparkSession.range(draws * n).select(draw.alias("draw"), pick.alias("at"))
+    rows = F.broadcast(numbered) if n <= BROADCAST_ROWS else numbered
+    return picks.join(rows, "at").groupBy("draw").agg(F.count("*").alias("n"), (F.sum("delta") / n).alias("mean"))
+
+
 def randomization_p(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
     """Sign-flip p of the mean delta: (extreme + 1) / (draws + 1). Of n equal deltas, Binomial(n, 1/2) keep their sign."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators import evaluate, graph, runs, splits
-from gneiss.plans.registry import _EDGES, _SEEDS, _edges, _seeds, _t, query
+from gneiss.plans.registry import _EDGES, _SEEDS, _edges, _pairs, _seeds, _t, query
 
 _STEPS, _RATE, _DECAY = 4, 0.15, 0.02
 
@@ -79,3 +79,13 @@ def flattened_values(spark, d):
     whole = many(segment=text("c_mktsegment"), place=many(nation=number("c_nationkey"), more=many(name=text("c_name"), deep=deep)))
     rows = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") > 0, whole).otherwise(number("c_custkey")).alias("current"))
     return runs.flattened(rows, "id", "current")
+
+_DRAWS = 150
+
+
+@query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS at_row, CAST(quality - toxic AS DOUBLE) AS delta FROM labels WHERE quality - toxic IS NOT NULL), n AS (SELECT count(*) AS n FROM p),
+picks AS (SELECT id // n AS draw, CAST('0x' || substr(md5('4405|' || (id // n) || '|' || (id % n)), 1, 15) AS BIGINT) % n AS at_row FROM n, range(n * {_DRAWS}) r(id))
+SELECT CAST(draw AS BIGINT) AS draw, count(*) AS n, round(sum(delta) / count(*), 9) AS mean FROM picks JOIN p USING (at_row) GROUP BY draw""")
+def exact_bootstrap(spark, d):
+    """The mean difference over resamples of just as many rows as there are."""
+    return evaluate.exact_resampled(_pairs(spark, d), _DRAWS, 4405).select("draw", "n", F.round("mean", 9).alias("mean"))
