@@ -285,3 +285,12 @@ def test_distances_by_plain_ranks():
         best = min(sorted(far), key=lambda p: (far[p], p))
         lang, score = model.predict(t)
         assert far[lang] == far[best] and abs(score - (1 - far[best] / (50 * len(own)))) < 1e-12
+
+
+# op9 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_digests_are_of_the_present_rules():
+    from gneiss.llm import licenses
+
+    assert sha(repr(licenses.REWRITES)) == licenses.DIGESTS_MADE_WITH
