@@ -40,7 +40,7 @@ def loop(record: dict[int, tuple], limits: dict) -> tuple:
             return steps, calls, tokens, ms, v.WALL
 
 
-@pytest.mark.parametrize("limits", [{"max_steps": 6, "max_tool_calls": 4, "max_tokens": 60, "wall_ms": 90}, {"max_steps": 3, "max_tool_calls": 9, "max_tokens": 99, "wall_ms": 80}])
+@pytest.mark.parametrize("limits", [{"max_steps": 6, "max_tool_calls": 4, "max_tokens": 35, "wall_ms": 90}, {"max_steps": 3, "max_tool_calls": 9, "max_tokens": 99, "wall_ms": 80}])
 def test_runs_by_a_plain_loop(spark, limits):
     rnd = random.Random(limits["max_steps"])
     runs = {f"r{k}": {t: (rnd.choice(["tool"] * 9 + ["finding", "abstain", "lost", None]), rnd.choice(["grep", "read_program", "other", None]), rnd.choice(["a", "b", None]), rnd.choice([None, 0, 5, 20]), rnd.choice([None, 1, 10, 30]), rnd.choice([None, 1, 10]), rnd.choice([None, "", "why"])) for t in range(1, rnd.randint(1, 12)) if rnd.random() < 0.97} for k in range(150)}
