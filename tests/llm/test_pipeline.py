@@ -138,9 +138,3 @@ def test_language_distance_by_brute_force(spark):
     for r, (_, text, _) in zip(out, rows, strict=True):
         want = out_of_place(text, profiles)
         assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-9
-
-
-def test_the_most_labelled_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "FIT_LANGS", 2)
-    docs = spark.createDataFrame([(i, "ab cd", "abc"[i % 3 if i < 30 else 0]) for i in range(60)], "doc_id long, text string, lang string")
-    assert len(langid.fit(docs).langs) == 2 and "a" in langid.fit(docs).langs
