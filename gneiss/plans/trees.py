@@ -6,12 +6,13 @@ twenty lines each. The operators see text alone; the SQL beside each query knows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators import program
 from gneiss.operators.store import stored
-from gneiss.plans.registry import _ORDER, _t, query
+from gneiss.plans.programs import _by_order
+from gneiss.plans.registry import _ORDER, query
 from gneiss.sources import files
 
 _HEAD = """\
@@ -67,16 +68,13 @@ def _filled(shape: str, **values):
 
 def _programs(spark: SparkSession, d: str) -> DataFrame:
     """The lines of every program."""
-    order = Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", *_ORDER.split(", ")).withColumn("i", F.row_number().over(order))
-    own = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("flag")))).alias("ls"))
+    own = _by_order(spark, d, "T").withColumnRenamed("l_orderkey", "k")
     n = F.size("ls")
     last = lambda x: F.when(x["flag"] == "R", _LAST["R"]).when(x["flag"] == "A", _LAST["A"]).otherwise(_LAST["N"])
     body = F.transform("ls", lambda x: _filled(_BODY, i=x["i"], p=x["p"], q=x["q"], next=x["i"] % n + 1, n=n, last=last(x)))
     fields = F.transform("ls", lambda x: _filled("           05  F{i} PIC 9(4) VALUE {q}.", i=x["i"], q=x["q"]))
     text = F.array_join(F.concat(F.array(_filled(_HEAD, k=F.col("k"))), fields, F.array(F.lit("       PROCEDURE DIVISION.")), body), "\n")
-    name = F.concat(F.lit("T"), F.col("k").cast("string"))
-    return files.program_lines(own.select(name.alias("program"), F.concat(name, F.lit(".cbl")).alias("file"), F.concat(text, F.lit("\n")).alias("text")))
+    return files.program_lines(own.select("program", F.concat("program", F.lit(".cbl")).alias("file"), F.concat(text, F.lit("\n")).alias("text")))
 
 
 # what stands in a paragraph, by place (off: its line, p: the place of its parent, g: lines of its guards, e: its last line)
@@ -113,4 +111,4 @@ UNION ALL SELECT program, 'P' || i, b + 20, 'call', '' FROM l WHERE own = 'N'"""
 def program_computed_jumps(spark, d):
     """Each target of a GO TO ... DEPENDING ON is a way of its own."""
     lines = _programs(spark, d)
-    return program.transfers(program.paragraphs(lines), stored(program.statements(lines), "statements")).select("program", "src", "line", "kind", "dst")
+    return program.transfers(stored(program.paragraphs(lines), "spans"), stored(program.statements(lines), "statements")).select("program", "src", "line", "kind", "dst")
