@@ -38,3 +38,8 @@ def test_files_across_batches(spark):
     assert got["1"] == got["2"] == got["4"] == got["10000"] and len(got["1"]) == 6 * 11
     own = program.statements(_lines(spark)).filter("program = 'A' and file = 'x'").orderBy("ord").collect()
     assert [(r.paragraph, r.kind, r.line_start, r.line_end, r.depth, r.targets) for r in own][4:8] == [("P1", "PHRASE", 4, 4, 2, []), ("P1", "GOTO", 4, 4, 2, ["P1", "P2"]), ("P1", "PERFORM_CALL", 6, 6, 0, []), ("P1", "OTHER", 6, 7, 0, [])]
+
+
+def test_masks_are_told_in_one_pass(spark):
+    plan = program.masked(_lines(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and plan.count("Exchange ") == 1
