@@ -295,12 +295,20 @@ def layout(fields: DataFrame, expansion: DataFrame) -> DataFrame:
 
     A record ends at its level or a lower one, at a 77, and where another file begins.
     """
-    said = expansion.groupBy("program", "file", "line_no").agg(F.first("text").alias("text"), F.min("at").alias("at"))
-    f = fields.join(said, ["program", "line_no"], "left").withColumn("pic", clean_pic(F.nullif(F.regexp_extract("text", r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+?)\.?(?:\s|$)", 1), F.lit(""))))
-    f = f.groupBy(*fields.columns).agg(F.min_by(F.struct("file", "pic"), "at").alias("x")).select(*fields.columns, "x.file", "x.pic")
+    # no field is declared behind PROCEDURE DIVISION, and of lines with one number the first counts: what is behind it is never asked for
+    before = Window.partitionBy("program").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.substring(F.coalesce("text", F.lit("")), program.BODY, program.BODY_LENGTH).rlike(r"(?i)^\s*PROCEDURE\s+DIVISION\b") & ~F.substring("text", program.INDICATOR, 1).isin("*", "/"), F.lit(False))
+    head = expansion.withColumn("begins", begins).withColumn("past", F.coalesce(F.max("begins").over(before), F.lit(False))).filter(~F.col("past"))
+    pic = clean_pic(F.nullif(F.regexp_extract("text", r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+?)\.?(?:\s|$)", 1), F.lit("")))
+    said = head.select("program", "line_no", "at", F.struct("file", pic.alias("pic")).alias("x")).groupBy("program", "line_no").agg(F.min_by("x", "at").alias("x"))
+    # lines, without their text, and fields are moved by program together, once: everything from here on stays within a program
+    own = fields.withColumn("x", F.lit(None).cast(said.schema["x"].dataType)).withColumn("is_field", F.lit(True)).unionByName(said.withColumn("is_field", F.lit(False)), allowMissingColumns=True).repartition("program")
+    f = own.withColumn("x", F.first("x", True).over(Window.partitionBy("program", "line_no"))).filter("is_field").select(*fields.columns, "x.file", "x.pic")
     order = Window.partitionBy("program").orderBy("ord")
     new = F.col("level").isin(1, 77) | (F.lag("file").over(order) != F.col("file")) | F.lag("file").over(order).isNull()
     f = f.withColumn("head", F.last(F.when(new, F.col("ord")), True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    up = f.select("program", "head", F.col("ord").alias("u"), F.col("name").alias("parent"))
-    near = f.join(up, ["program", "head", "parent"], "left").filter("u is null or u < ord").groupBy(*f.columns).agg(F.max("u").alias("above"))
-    return near
+    # a row for the name and one for the parent's; the parent is the last field so named before this one
+    each = f.withColumn("k", F.explode(F.array(F.struct(F.lit(False).alias("named"), F.col("parent").alias("key")), F.struct(F.lit(True).alias("named"), F.col("name").alias("key")))))
+    so_far = Window.partitionBy("program", "head", "k.key").orderBy("ord", "k.named").rowsBetween(Window.unboundedPreceding, 0)
+    up = each.withColumn("above", F.when(F.col("k.key").isNotNull(), F.last(F.when(F.col("k.named"), F.col("ord")), True).over(so_far)))
+    return up.filter("not k.named").select(*f.columns, "above")
