@@ -109,5 +109,5 @@ def program_tree(spark, d):
 UNION ALL SELECT program, 'P' || i, b + 20, 'call', '' FROM l WHERE own = 'N'""")
 def program_computed_jumps(spark, d):
     """Each target of a GO TO ... DEPENDING ON is a way of its own."""
-    lines = _programs(spark, d)
-    return program.transfers(_kept(program.paragraphs(lines), "spans"), _kept(program.statements(lines), "statements")).select("program", "src", "line", "kind", "dst")
+    spans, stmts, _ = program.outlined_parts(_kept(program.outline(_programs(spark, d)), "outline"))
+    return program.transfers(spans, stmts).select("program", "src", "line", "kind", "dst")
