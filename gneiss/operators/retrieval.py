@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import STOPWORDS, coverage, stem, tokens
+from gneiss.operators import vectors as blocks
 from gneiss.operators.store import stored
 
 K1, B = 1.5, 0.75
@@ -87,11 +88,13 @@ def filled(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> Da
 
 def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): the dot product of each query with all vectors, whose lengths may differ: the shorter counts. A stated query set against all rows, not an all-pairs join."""
-    x, y = F.col("q"), F.col("embedding")
-    n = F.least(F.size(x), F.size(y))
-    dot = F.aggregate(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     asked = queries.select("query_id", F.col("embedding").alias("q"))
-    return vectors.crossJoin(asked).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot, 6).alias("score"))
+    return vectors.crossJoin(asked).select("query_id", F.col("vec_id").alias("doc_id"), _dot(F.col("q"), F.col("embedding")).alias("score"))
+
+
+def _dot(x: Column, y: Column) -> Column:
+    n = F.least(F.size(x), F.size(y))
+    return F.round(F.aggregate(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v), 6)
 
 
 def _place(value: Column, array: str) -> Column:
@@ -129,15 +132,15 @@ def _unmatched_ranks(scores: DataFrame, docs: DataFrame, wanted: DataFrame) -> D
     return smaller.join(upto, "doc_id").join(matched, "query_id", "left").select("query_id", "doc_id", (F.coalesce("m", F.lit(0)) + F.col("before") - F.col("less")).cast("int").alias("rank"))
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best by reciprocal rank fusion of the whole rankings.
+def hybrid(lexical: DataFrame, vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best by reciprocal rank fusion of the whole rankings, that of lexical scores and that of vectors (vec_id, embedding).
 
     Only the FUSED + 2k best of either ranking can be among them: what is in neither scores at most 2 / (2 FUSED + 2k + 1), and the
     k best of one ranking at least 1 / (FUSED + k) each. The ranks of those in the other ranking are counted.
     """
     deep = FUSED + 2 * k
-    lexical, semantic = stored(lexical, "lexical"), stored(semantic, "semantic")
-    a, b = stored(filled(lexical, docs, queries, deep), "deep"), stored(top(semantic, deep), "deep")
+    lexical = stored(lexical, "lexical")
+    a, b = stored(filled(lexical, docs, queries, deep), "deep"), stored(top(blocks.best(vectors, queries, deep), deep), "deep")
     pair = ["query_id", "doc_id"]
     not_a = b.select(pair).join(a.select(pair), pair, "left_anti")
     # of documents only: a vector may belong to none
@@ -146,7 +149,8 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: Da
     with_score = lexical.join(not_a, pair, "left_semi")
     rest = not_a.join(lexical.select(pair), pair, "left_anti")
     in_a = a.select(*pair, "rank").unionByName(ranks(lexical, with_score)).unionByName(_unmatched_ranks(lexical, docs, rest))
-    in_b = b.select(*pair, "rank").unionByName(ranks(semantic, semantic.join(not_b, pair, "left_semi")))
+    told = not_b.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    in_b = b.select(*pair, "rank").unionByName(blocks.ranks(vectors, queries, told.select(*pair, _dot(F.col("q"), F.col("embedding")).alias("score"))))
     return top(fuse([in_a, in_b]), k)
 
 
@@ -178,17 +182,17 @@ def search(mode: str, queries: DataFrame, docs: DataFrame, k: int = 5, vectors:
     if mode == "hybrid_rerank" and scorer is None:
         raise ValueError(f"{mode} needs a scorer")
     may = docs if only is None else docs.join(only.select("doc_id"), "doc_id", "left_semi")
-    lexical = semantic = None
+    lexical = None
     if mode != "dense":
         lexical = bm25(docs, queries, index=index)
         lexical = lexical if only is None else lexical.join(only.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "score")
-    if mode != "bm25":
-        semantic = dense(vectors if only is None else vectors.join(only.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), queries)
+    if mode != "bm25" and only is not None:
+        vectors = vectors.join(only.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     if mode == "bm25":
         return filled(lexical, may, queries, k)
     if mode == "dense":
-        return top(semantic, k)
-    best = hybrid(lexical, semantic, may, queries, k if mode == "hybrid" else HEAD)
+        return top(blocks.best(vectors, queries, k), k)
+    best = hybrid(lexical, vectors, may, queries, k if mode == "hybrid" else HEAD)
     return best if mode == "hybrid" else rerank(best, queries, docs, k, scorer)
 
 
