@@ -21,6 +21,12 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS)), stem)
 
 
+def token_set(text: Column) -> Column:
+    """The distinct tokens() of a text; a word that is repeated is stemmed once."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS)), stem))
+
+
 def stem(word: Column) -> Column:
     n = F.length(word)
     out = F.when(word.rlike("^[0-9]+$"), word)

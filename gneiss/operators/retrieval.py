@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import STOPWORDS, coverage, stem, tokens
+from gneiss.functions.text import STOPWORDS, coverage, stem, token_set, tokens
 from gneiss.operators import vectors as blocks
 from gneiss.operators.store import stored
 
@@ -70,6 +70,43 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, inde
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * part), 6).alias("score"))
 
 
+#: Terms of queries that are broadcast at once, and of which a set is made for each document.
+ASKED = 50_000
+
+
+def covering(docs: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """The columns of docs without its text, query_id and overlap of every pair in which a document has at least that share, above 0, of a query's distinct terms.
+
+    Of m terms such a document lacks fewer than any m - least * m + 1 of them, so it has one of a query's so many rarest (among queries),
+    and only pairs that share one are compared. Documents aren't moved and no pair is counted over rows: their terms meet the broadcast ones of queries
+    where they are read. Queries of more than ASKED terms go in several rounds, each of which reads the documents.
+    """
+    # numbered before it is exploded: in one select every term would have a number of its own
+    numbered = queries.select(F.monotonically_increasing_id().alias("key"), "query_id", "text")
+    each = numbered.select("key", "query_id", F.explode(token_set(F.col("text"))).alias("term"))
+    by_rarity = F.struct(F.count("*").over(Window.partitionBy("term")).alias("n"), (-F.length("term")).alias("l"), "term")
+    asked = each.withColumn("x", by_rarity).groupBy("key", "query_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["term"]).alias("asked"))
+    # overlaps are compared as rounded, so what is asked for is a little less
+    m = F.size("asked")
+    asked = stored(asked.withColumn("rare", F.slice("asked", F.lit(1), (m - F.ceil(m * (least - 1e-6)) + 1).cast("int"))), "asked")
+    rounds = max(-(-(asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // ASKED), 1)
+    kept = [c for c in docs.columns if c != "text"]
+    # exploded from an array of its own, a document's set is made once and not anew for each use
+    held = docs.select(*kept, F.explode(F.array(token_set(F.col("text")))).alias("held"))
+    overlap = F.round(coverage(F.col("asked"), F.col("held")), 6)
+    found = None
+    for k in range(rounds):
+        own = asked.filter(F.pmod(F.hash("key"), F.lit(rounds)) == k)
+        pick = own.select("key", F.explode("rare").alias("term"))
+        # one row; a document's set goes along with the few terms of its own that are rare, not with all
+        some = held.crossJoin(F.broadcast(pick.agg(F.collect_set("term").alias("all")))).select(*kept, "held", F.explode(F.array_intersect("held", "all")).alias("term"))
+        met = some.join(F.broadcast(pick), "term").join(F.broadcast(own), "key")
+        # a pair that shares several of the rarest is met as often: the first of them counts
+        pairs = met.withColumn("overlap", overlap).filter((F.col("overlap") >= least) & (F.get(F.array_intersect("rare", "held"), F.lit(0)) == F.col("term"))).select(*kept, "query_id", "overlap")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ties to the smaller doc_id, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
