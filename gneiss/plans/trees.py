@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from gneiss.operators import program
 from gneiss.plans.programs import _by_order, _kept
 from gneiss.plans.registry import _ORDER, query
-from gneiss.sources import files
 
 _HEAD = """\
        IDENTIFICATION DIVISION.
@@ -66,14 +65,14 @@ def _filled(shape: str, **values):
 
 
 def _programs(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of every program."""
+    """(program, file, text) of every order."""
     own = _by_order(spark, d, "T").withColumnRenamed("l_orderkey", "k")
     n = F.size("ls")
     last = lambda x: F.when(x["flag"] == "R", _LAST["R"]).when(x["flag"] == "A", _LAST["A"]).otherwise(_LAST["N"])
     body = F.transform("ls", lambda x: _filled(_BODY, i=x["i"], p=x["p"], q=x["q"], next=x["i"] % n + 1, n=n, last=last(x)))
     fields = F.transform("ls", lambda x: _filled("           05  F{i} PIC 9(4) VALUE {q}.", i=x["i"], q=x["q"]))
     text = F.array_join(F.concat(F.array(_filled(_HEAD, k=F.col("k"))), fields, F.array(F.lit("       PROCEDURE DIVISION.")), body), "\n")
-    return files.program_lines(own.select("program", "file", F.concat(text, F.lit("\n")).alias("text")))
+    return own.select("program", "file", F.concat(text, F.lit("\n")).alias("text"))
 
 
 # what stands in a paragraph, by place (off: its line, p: the place of its parent, g: lines of its guards, e: its last line)
@@ -98,7 +97,7 @@ l AS (SELECT *, 'T' || k AS program, CAST(11 + n + 20 * (i - 1) AS INTEGER) AS b
 SELECT program, 'P' || i AS paragraph, count(*) AS n_statements, CAST(max(depth) AS BIGINT) AS deepest, CAST(max(len(g)) AS INTEGER) AS most_guards, count(*) FILTER (p IS NOT NULL) AS inner_statements, md5(string_agg(line, chr(10) ORDER BY j)) AS tree FROM told GROUP BY program, i""")
 def program_tree(spark, d):
     """Every paragraph's statements with kind, verb, line, depth, parent, branch, guards and last line: a line each, told by the md5 of all, in order."""
-    s = program.statements(_programs(spark, d))
+    s = program.statements_of(_programs(spark, d))
     text = lambda c: F.col(c).cast("string")
     line = F.concat_ws(" ", text("ord"), "kind", "verb", text("line_start"), text("depth"), F.coalesce("parent", F.lit(0)).cast("string"), F.coalesce("branch", F.lit("-")), F.concat(F.lit("["), F.array_join("guards", ","), F.lit("]")), text("block_end"))
     told = s.groupBy("program", "paragraph").agg(F.count("*").alias("n_statements"), F.max("depth").alias("deepest"), F.max(F.size("guards")).alias("most_guards"), F.count("parent").alias("inner_statements"), F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("ls"))
@@ -109,5 +108,5 @@ def program_tree(spark, d):
 UNION ALL SELECT program, 'P' || i, b + 20, 'call', '' FROM l WHERE own = 'N'""")
 def program_computed_jumps(spark, d):
     """Each target of a GO TO ... DEPENDING ON is a way of its own."""
-    spans, stmts, _ = program.outlined_parts(_kept(program.outline(_programs(spark, d)), "outline"))
-    return program.transfers(spans, stmts).select("program", "src", "line", "kind", "dst")
+    flows = _kept(program.flows_of(_programs(spark, d), blocks=False), "flows")
+    return program.arrived(flows).select("program", "src", "line", "kind", "dst")
