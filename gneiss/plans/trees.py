@@ -97,11 +97,7 @@ l AS (SELECT *, 'T' || k AS program, CAST(11 + n + 20 * (i - 1) AS INTEGER) AS b
 SELECT program, 'P' || i AS paragraph, count(*) AS n_statements, CAST(max(depth) AS BIGINT) AS deepest, CAST(max(len(g)) AS INTEGER) AS most_guards, count(*) FILTER (p IS NOT NULL) AS inner_statements, md5(string_agg(line, chr(10) ORDER BY j)) AS tree FROM told GROUP BY program, i""")
 def program_tree(spark, d):
     """Every paragraph's statements with kind, verb, line, depth, parent, branch, guards and last line: a line each, told by the md5 of all, in order."""
-    s = program.statements_of(_programs(spark, d))
-    text = lambda c: F.col(c).cast("string")
-    line = F.concat_ws(" ", text("ord"), "kind", "verb", text("line_start"), text("depth"), F.coalesce("parent", F.lit(0)).cast("string"), F.coalesce("branch", F.lit("-")), F.concat(F.lit("["), F.array_join("guards", ","), F.lit("]")), text("block_end"))
-    told = s.groupBy("program", "paragraph").agg(F.count("*").alias("n_statements"), F.max("depth").alias("deepest"), F.max(F.size("guards")).alias("most_guards"), F.count("parent").alias("inner_statements"), F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("ls"))
-    return told.select("program", "paragraph", "n_statements", "deepest", "most_guards", "inner_statements", F.md5(F.array_join(F.transform("ls", lambda x: x["line"]), "\n").cast("binary")).alias("tree"))
+    return program.trees_of(_programs(spark, d)).select("program", "paragraph", "n_statements", "deepest", "most_guards", "inner_statements", "tree")
 
 
 @query(f"""WITH {_L} SELECT program, 'P' || i AS src, b + 14 AS line, 'perform' AS kind, 'P' || (i % n + 1) AS dst FROM l UNION ALL SELECT program, 'P' || i, b + 14, 'goto', unnest(['P1', 'P' || n]) FROM l
